@@ -16,35 +16,27 @@ def strip_fences(text) -> Column:
     return F.when(text.startswith("```"), body).otherwise(text)
 
 
-def response_schema(with_images: bool = False) -> str:
-    fields = dict(V.RESPONSE_TEXT_FIELDS)
-    if with_images:
-        fields.update(V.RESPONSE_IMAGE_FIELDS)
-    return ", ".join(f"{name} {dtype}" for name, dtype in fields.items())
+def response_fields(with_images: bool = False) -> dict[str, str]:
+    return {**V.RESPONSE_TEXT_FIELDS, **(V.RESPONSE_IMAGE_FIELDS if with_images else {})}
 
 
 def parse_llm_response(text, with_images: bool = False) -> Column:
     """Struct of the known keys, scores held to 1..5; NULL for anything unusable.
 
-    A value of an unexpected type becomes NULL; the record itself is kept.
+    A value of an unexpected type becomes NULL; the record itself is kept.  The text
+    is parsed once: the one-element array binds the parsed record to a name.
     """
-    body = strip_fences(text)
-    fields = dict(V.RESPONSE_TEXT_FIELDS)
-    if with_images:
-        fields.update(V.RESPONSE_IMAGE_FIELDS)
-    raw = F.from_json(body, "map<string,string>")
-    known = F.arrays_overlap(F.map_keys(raw), F.array(*[F.lit(n) for n in fields]))
-
-    def typed(name, dtype):
-        value = F.try_element_at(raw, F.lit(name)).try_cast(dtype)
-        if name in V.CLAMPED_SCORES:
-            value = F.greatest(F.lit(1), F.least(F.lit(5), value)).cast(dtype)
-            value = F.when(F.try_element_at(raw, F.lit(name)).isNotNull()
-                           & F.try_element_at(raw, F.lit(name)).rlike(r"^-?\d+$"), value)
-        return value.alias(name)
-
-    parsed = F.struct(*[typed(n, t) for n, t in fields.items()])
-    return F.when(body.startswith("{") & F.coalesce(known, F.lit(False)), parsed)
+    body, fields = strip_fences(text), response_fields(with_images)
+    schema = ", ".join(f"{name} {dtype}" for name, dtype in fields.items())
+    known = F.arrays_overlap(F.json_object_keys(body), F.array(*[F.lit(n) for n in fields]))
+
+    def tidy(rec):
+        return F.struct(*[
+            (F.when(rec[n].isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), rec[n]))).cast(t)
+             if n in V.CLAMPED_SCORES else rec[n]).alias(n) for n, t in fields.items()])
+
+    parsed = F.transform(F.array(F.from_json(body, schema)), tidy)[0]
+    return F.when(F.coalesce(known, F.lit(False)), parsed)
 
 
 def with_text_features(df: DataFrame, text_col: str, out: str = "text",

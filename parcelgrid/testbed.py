@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parcelgrid import testbed_texts as texts
+
 LISTINGS = """
 SELECT
   concat(CASE l_suppkey % 3 WHEN 0 THEN 'mt_api' WHEN 1 THEN 'mt_class' ELSE 'bg_board' END, ':',
@@ -131,11 +133,14 @@ STATEMENTS = {
     "listings": LISTINGS, "batch1": BATCH1, "batch2": BATCH2, "pois": POIS,
     "requests": REQUESTS, "llm_text": LLM_TEXT, "text_features": TEXT_FEATURES,
     "countries": COUNTRIES, "regions": REGIONS, "properties": PROPERTIES,
+    "texts": texts.TEXTS, "api_raw": texts.API_RAW, "portal_pages": texts.PORTAL_PAGES,
+    "card_pages": texts.CARD_PAGES, "detail_pages": texts.DETAIL_PAGES,
 }
 NEEDS = {
     "listings": (), "batch1": ("listings",), "batch2": ("listings",), "pois": (),
     "requests": (), "llm_text": ("listings",), "text_features": ("listings",),
-    "countries": (), "regions": (), "properties": ("listings",),
+    "countries": (), "regions": (), "properties": ("listings",), "texts": ("listings",),
+    "api_raw": ("texts",), "portal_pages": ("texts",), "card_pages": ("texts",), "detail_pages": ("texts",),
 }
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
