@@ -5,15 +5,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelgrid import fixed_values as V
-from parcelgrid.functions.common import col
+from parcelgrid.functions.common import col, null_if_empty
 
 
 def strip_fences(text) -> Column:
     """Drops a leading ``` line and, when present, a closing ``` line."""
-    text = F.trim(F.regexp_replace(col(text), r"^\s+|\s+$", ""))
-    body = F.regexp_replace(text, r"(?s)^```[^\n]*\n?", "")
-    body = F.regexp_replace(body, r"\n?[ \t]*```[ \t]*$", "")
-    return F.when(text.startswith("```"), body).otherwise(text)
+    text = col(text)
+    inside = F.regexp_extract(text, r"(?s)^\s*```[^\n]*\n(.*?)(?:\n?[ \t]*```)?\s*$", 1)
+    return F.coalesce(null_if_empty(inside), text)
 
 
 def response_fields(with_images: bool = False) -> dict[str, str]:
