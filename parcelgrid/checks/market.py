@@ -149,8 +149,8 @@ query("union_collections", "SELECT doc_id, source, price_eur FROM listings")(
 
 
 # --- Work lists -----------------------------------------------------------------------------------
-query("stale_filter", "SELECT doc_id FROM listings WHERE epoch(TIMESTAMP '2024-01-01') - epoch(date_trunc('second', last_seen)) > 20 * 3600")(
-    lambda t: M.stale_filter(t.listings, "2024-01-01 00:00:00").select("doc_id"))
+query("stale_filter", "SELECT doc_id FROM listings WHERE epoch(TIMESTAMP '1998-05-24') - epoch(date_trunc('second', last_seen)) > 20 * 3600")(
+    lambda t: M.stale_filter(t.listings, "1998-05-24 00:00:00").select("doc_id"))
 query("needs_enrichment", """
 SELECT doc_id FROM listings WHERE description <> '' AND doc_id NOT IN (SELECT doc_id FROM text_features)""", ("listings", "text_features"))(
     lambda t: M.needs_enrichment(t.listings, t.text_features).select("doc_id"))

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelgrid import fixed_values as V
 from parcelgrid.functions.common import (
@@ -74,7 +75,7 @@ def base_name(key) -> Column:
     return F.when(key.startswith(V.GOZO_PREFIX), F.substring(key, len(V.GOZO_PREFIX) + 1, 10_000)).otherwise(key)
 
 
-@F.pandas_udf("struct<score double, norm string>")
+@F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("norm", T.StringType())]))
 def closest_name(word: pd.Series, options: pd.Series) -> pd.DataFrame:
     """Best difflib ratio of a name over a short list of names."""
     scores, names = [], []

@@ -24,6 +24,17 @@ _LAT_KM = 111.0
 METRICS: dict[str, Metric] = {"haversine": haversine_km, "planar": planar_km}
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all tasks before a step that does much work per row.
+
+    Tables of cells are small in bytes, so adaptive execution would otherwise fold
+    them into a few tasks and run the distance work there.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 class Grid:
     """Square-ish cells of about `radius / cells_per_radius` kilometres.
 
@@ -34,9 +45,8 @@ class Grid:
     def __init__(self, radius_km: float, cells_per_radius: int, metric: str, max_lat: float = 60.0):
         side = radius_km / cells_per_radius
         lon_km = V.PLANAR_LON_KM if metric == "planar" else _LAT_KM * math.cos(math.radians(max_lat))
-        self.radius, self.metric = radius_km, METRICS[metric]
-        self.step_lat, self.step_lon = side / _LAT_KM, side / lon_km
-        self.reach = cells_per_radius + 1
+        self.radius, self.per_radius, self.metric = radius_km, cells_per_radius, METRICS[metric]
+        self.side, self.step_lat, self.step_lon = side, side / _LAT_KM, side / lon_km
 
     def cell(self, lat: str, lon: str, prefix: str = "") -> dict[str, Column]:
         return {f"{prefix}ci": F.floor(F.col(lat) / F.lit(self.step_lat)).cast("long"),
@@ -54,23 +64,44 @@ class Grid:
         edge = F.greatest(low - half_lat, F.lit(0.0))
         return self.metric(low, lon * 0, edge, lon * 0 + F.lit(half_lon)) * F.lit(1.000001) + F.lit(1e-9)
 
-    def neighbours(self, cells: DataFrame, prefix: str, reach: int | None = None) -> DataFrame:
-        """Cells within reach of each probe cell, as (prefix ci, cj) next to it.
-
-        The span in longitude follows the latitude, so it is complete anywhere.
-        """
-        steps = self.reach if reach is None else reach
-        rows = F.sequence(F.lit(-steps), F.lit(steps))
-        if reach is not None or self.metric is planar_km:
-            columns = rows
-        else:
-            lat, _ = self.center()
-            farthest = F.least(F.abs(lat) + self.step_lat * (steps + 1), F.lit(89.9))
-            km = F.lit(self.step_lon * _LAT_KM) * F.cos(F.radians(farthest))
-            span = F.least(F.ceil(F.lit(self.radius) / km) + 1, F.lit(math.ceil(360 / self.step_lon)))
-            columns = F.sequence(-span, span)
-        out = cells.withColumn(f"{prefix}ci", F.explode(F.transform(rows, lambda d: F.col("ci") + d)))
-        return out.withColumn(f"{prefix}cj", F.explode(F.transform(columns, lambda d: F.col("cj") + d)))
+    def geometry(self, cells: DataFrame, prefix: str = "") -> DataFrame:
+        """Adds each cell's centre and half diagonal."""
+        lat, lon = self.center(prefix)
+        return cells.withColumns({f"{prefix}clat": lat, f"{prefix}clon": lon, f"{prefix}half": self.half_diagonal(prefix)})
+
+    def gap(self) -> Column:
+        return self.metric(F.col("clat"), F.col("clon"), F.col("p_clat"), F.col("p_clon"))
+
+    def lon_km(self, lat: Column, away: float) -> Column:
+        """Width in kilometres of one cell at the most distant latitude in question."""
+        if self.metric is planar_km:
+            return F.lit(self.side)
+        farthest = F.least(F.abs(lat) + away, F.lit(89.9))
+        return F.lit(self.step_lon * _LAT_KM) * F.cos(F.radians(farthest))
+
+    def block(self, prefix: str = "") -> dict[str, Column]:
+        """The radius-sized block of a cell."""
+        return {"bi": F.floor(F.col(f"{prefix}ci") / self.per_radius).cast("long"),
+                "bj": F.floor(F.col(f"{prefix}cj") / self.per_radius).cast("long")}
+
+    def into_blocks(self, cells: DataFrame, prefix: str) -> DataFrame:
+        """Each cell once per block that has positions within the radius of it."""
+        lat, _ = self.center(prefix)
+        width = self.lon_km(lat, self.step_lat * (self.per_radius + 1)) * self.per_radius
+        span = F.least(F.ceil(F.lit(self.radius) / width), F.lit(math.ceil(360 / (self.step_lon * self.per_radius))))
+        at = self.block(prefix)
+        out = cells.withColumn("bi", F.explode(F.array(at["bi"] - 1, at["bi"], at["bi"] + 1)))
+        return out.withColumn("bj", F.explode(F.transform(F.sequence(-span, span), lambda d: at["bj"] + d)))
+
+    def around(self, rows: DataFrame, reach_km) -> DataFrame:
+        """Each row once per cell (p_ci, p_cj) that a circle of `reach_km` can touch."""
+        reach = F.least(reach_km, F.lit(float(self.radius)))
+        up = F.ceil(reach / self.side) + 1
+        lat, _ = self.center()
+        across = F.least(F.ceil(reach / self.lon_km(lat, self.step_lat * (self.per_radius + 1))) + 1,
+                         F.lit(math.ceil(360 / self.step_lon)))
+        out = rows.withColumn("p_ci", F.explode(F.transform(F.sequence(-up, up), lambda d: F.col("ci") + d)))
+        return out.withColumn("p_cj", F.explode(F.transform(F.sequence(-across, across), lambda d: F.col("cj") + d)))
 
 
 def crowding(points: DataFrame, radius_km: float, metric: str, lat="lat", lon="lon") -> float:
@@ -114,12 +145,11 @@ def range_aggregate(probes: DataFrame, points: DataFrame, radius_km: float, metr
     places = (points.filter(has_position).groupBy(*match, F.col(lat).alias("p_lat"), F.col(lon).alias("p_lon"))
               .agg(measure.alias("p_w")).withColumns(g.cell("p_lat", "p_lon", "p_")))
     combine = F.sum if value is None else F.max
-    cells = places.groupBy(*match, "p_ci", "p_cj").agg(combine("p_w").alias("c_w"))
-    around = g.neighbours(spots.select(*match, "ci", "cj").distinct(), "p_")
-    apart = g.metric(*g.center(), *g.center("p_"))
-    slack = g.half_diagonal() + g.half_diagonal("p_")
-    pairs = (around.join(cells, [*match, "p_ci", "p_cj"])
-             .withColumns({"near": apart + slack, "far": apart - slack})
+    cells = g.geometry(places.groupBy(*match, "p_ci", "p_cj").agg(combine("p_w").alias("c_w")), "p_")
+    asked = g.geometry(spots.select(*match, "ci", "cj").distinct()).withColumns(g.block())
+    slack = F.col("half") + F.col("p_half")
+    pairs = (spread(asked, *match, "bi", "bj").join(spread(g.into_blocks(cells, "p_"), *match, "bi", "bj"), [*match, "bi", "bj"])
+             .withColumns({"near": g.gap() + slack, "far": g.gap() - slack})
              .filter(F.col("far") <= radius_km))
     whole = (pairs.filter(F.col("near") <= radius_km).groupBy(*match, "ci", "cj")
              .agg(combine("c_w").alias("whole")))
@@ -175,7 +205,6 @@ def freshness_max(requests: DataFrame, listings: DataFrame, radius_km: float = 5
 # --- Nearest k within a radius ------------------------------------------------------------
 
 _AREA_STEP = 0.05
-_LOCAL_REACH = 2     # cells around a probe that are looked at to bound a search
 
 
 def _area_bucket(area: Column) -> Column:
@@ -210,28 +239,22 @@ def nearest_within(probes: DataFrame, listings: DataFrame, probe_id: str, listin
              .withColumns(g.cell("lat", "lon")))
     has_area = F.coalesce(F.col("q_area") > 0, F.lit(False))
     low, high = F.col("q_area") * F.lit(1 - tolerance), F.col("q_area") * F.lit(1 + tolerance)
-    probe_cells = asked.select(*match, "ci", "cj").distinct()
-    to_center = haversine_km(F.col("lat"), F.col("lon"), *g.center("p_"))
-    half = g.half_diagonal("p_")
+    cells = g.geometry(cells, "p_")
+    to_center = haversine_km("lat", "lon", "p_clat", "p_clon")
     in_bucket = ~has_area | ((F.col("bucket") >= _area_bucket(low)) & (F.col("bucket") <= _area_bucket(high)))
     surely = ~has_area | ((F.col("bucket") > _area_bucket(low)) & (F.col("bucket") < _area_bucket(high)))
-
-    def options(reach):
-        around = g.neighbours(probe_cells, "p_", reach).join(cells, [*match, "p_ci", "p_cj"])
-        return asked.join(around, [*match, "ci", "cj"]).withColumns(
-            {"far": to_center + half, "near": to_center - half})
-
+    asked = spread(asked, "q_id")
     # Distance that surely holds k listings: running total over the cells at hand, by
     # their farthest corner.  Looking only around the probe keeps this small; where it
-    # finds fewer than k, no bound applies and every cell within the radius is opened.
+    # finds fewer than k, every cell within the radius is opened.
     w = Window.partitionBy("q_id").orderBy("far").rowsBetween(Window.unboundedPreceding, 0)
-    bound = (options(_LOCAL_REACH).filter(surely).withColumn("so_far", F.sum("n").over(w))
+    bound = (g.around(asked, F.lit(g.side)).join(cells, [*match, "p_ci", "p_cj"]).filter(surely)
+             .withColumn("far", to_center + F.col("p_half")).withColumn("so_far", F.sum("n").over(w))
              .filter(F.col("so_far") >= k).groupBy("q_id").agg(F.min("far").alias("bound")))
     limited = attach(asked, bound, ["q_id"]).withColumn(
         "bound", F.least(F.coalesce("bound", F.lit(float(radius_km))), F.lit(float(radius_km))))
-    around = g.neighbours(probe_cells, "p_").join(cells, [*match, "p_ci", "p_cj"])
-    opened = (limited.join(around, [*match, "ci", "cj"])
-              .filter((to_center - half <= F.col("bound")) & in_bucket)
+    opened = (g.around(limited, F.col("bound")).join(cells, [*match, "p_ci", "p_cj"])
+              .filter((to_center - F.col("p_half") <= F.col("bound")) & in_bucket)
               .select("q_id", *match, "lat", "lon", "q_area", "p_ci", "p_cj", "bucket"))
     found = (opened.join(pool, [*match, "p_ci", "p_cj", "bucket"])
              .filter(~has_area | F.col("l_area").between(low, high))
@@ -312,28 +335,27 @@ def similar_rentals(sales: DataFrame, rentals: DataFrame, max_km: float = 5.0, k
         cond = F.coalesce(F.abs(F.col("q_cond") - F.col("r_cond")) / 4.0 * 0.5, F.lit(0.0))
         return round_even(dist / F.lit(max_km) * 3.0 + rooms + area + cond, 2)
 
-    probe_cells = asked.select("ci", "cj").distinct()
-    to_center = planar_km(F.col("lat"), F.col("lon"), *g.center("p_"))
-    half = g.half_diagonal("p_")
+    cells = g.geometry(cells, "p_")
+    to_center = planar_km("lat", "lon", "p_clat", "p_clon")
     both_areas = F.col("a_min").isNotNull() & F.col("q_area").isNotNull()
     gap_low = F.when(both_areas, F.greatest(F.col("a_min") - F.col("q_area"),
                                             F.col("q_area") - F.col("a_max"), F.lit(0.0)))
     gap_high = F.when(both_areas, F.greatest(F.abs(F.col("a_min") - F.col("q_area")),
                                              F.abs(F.col("a_max") - F.col("q_area"))))
     slack = F.lit(0.01)  # one rounding step either way
+    probes = spread(probes, "q_key")
     # k rentals near the sale bound the score; a set whose best score is worse is skipped.
-    local = (probes.join(g.neighbours(probe_cells, "p_", _LOCAL_REACH).join(cells, ["p_ci", "p_cj"]), ["ci", "cj"])
-             .withColumn("far", to_center + half).filter(F.col("far") <= max_km)
+    local = (g.around(probes, F.lit(g.side)).join(cells, ["p_ci", "p_cj"])
+             .withColumn("far", to_center + F.col("p_half")).filter(F.col("far") <= max_km)
              .withColumn("worst", score(F.col("far"), gap_high) + slack))
     w = Window.partitionBy("q_key").orderBy("worst").rowsBetween(Window.unboundedPreceding, 0)
     bound = (local.withColumn("so_far", F.sum("n").over(w)).filter(F.col("so_far") >= k)
              .groupBy("q_key").agg(F.min("worst").alias("bound")))
     limited = attach(probes, bound, ["q_key"]).withColumn("bound", F.coalesce("bound", F.lit(1e9)))
-    around = g.neighbours(probe_cells, "p_").join(cells, ["p_ci", "p_cj"])
-    near = F.greatest(to_center - half, F.lit(0.0))
-    opened = (limited.join(around, ["ci", "cj"])
-              .filter((near <= max_km) & (near * (3.0 / max_km) <= F.col("bound") + slack)
-                      & (score(near, gap_low) - slack <= F.col("bound")))
+    near = F.greatest(to_center - F.col("p_half"), F.lit(0.0))
+    # The distance part alone is 3 d / max_km, so a score bound is a distance bound.
+    opened = (g.around(limited, (F.col("bound") + slack) * F.lit(max_km / 3.0)).join(cells, ["p_ci", "p_cj"])
+              .filter((near <= max_km) & (score(near, gap_low) - slack <= F.col("bound")))
               .select("q_key", "lat", "lon", "q_rooms", "q_area", "q_cond", *kinds))
     dist = planar_km("lat", "lon", "r_lat", "r_lon")
     found = (attach(opened, pool, kinds, "inner")
@@ -348,8 +370,8 @@ def similar_rentals(sales: DataFrame, rentals: DataFrame, max_km: float = 5.0, k
 
 # --- Nearest point of each category --------------------------------------------------------------
 
-_FINE = 0.02          # degrees, finest cell of the nearest-point search
-_LEVELS = 15          # each level doubles the cell; the last covers the globe
+_FINE = 0.01          # degrees, finest cell of the nearest-point search
+_LEVELS = 16          # each level doubles the cell; the last covers the globe
 
 
 def _fine_cell(lat: str, lon: str) -> dict[str, Column]:
@@ -382,32 +404,32 @@ def nearest_candidates(spots: DataFrame, points: DataFrame, category: str = "cat
         half = F.lit(_FINE * 0.7072)
         to_point = degree_distance("clat", "clon", "p_lat", "p_lon")
         side, far = F.lit(_FINE), 1e9
-    cells = cells.withColumns({"clat": clat, "clon": clon, "half": half})
+    cells = spread(cells, "ci", "cj").withColumns({"clat": clat, "clon": clon, "half": half})
     levels = F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1)))
     near3 = F.array(F.lit(-1), F.lit(0), F.lit(1))
     # Each point marks the 3 x 3 block around its cell, at every level.
-    spread = (points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    marks = (points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
               .select(F.col(category).alias("category"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
               .distinct().withColumns(_fine_cell("p_lat", "p_lon"))
               .withColumn("level", levels)
               .withColumn("di", F.explode(near3)).withColumn("dj", F.explode(near3))
               .select("category", "p_lat", "p_lon", "level", (_at_level("ci") + F.col("di")).alias("ai"),
                       (_at_level("cj") + F.col("dj")).alias("aj")))
-    occupied = spread.select("category", "level", "ai", "aj").distinct()
+    occupied = marks.select("category", "level", "ai", "aj").distinct()
     block = {"ai": _at_level("ci"), "aj": _at_level("cj")}
     first = (cells.withColumn("level", levels).withColumns(block)
              .join(occupied, ["level", "ai", "aj"]).groupBy("ci", "cj", "category")
              .agg(F.min_by(F.struct("level", "ai", "aj", "clat", "clon", "half"), "level").alias("f"))
              .select("ci", "cj", "category", "f.*"))
     # The best point of the first occupied block bounds the distance from the cell.
-    reach = (first.join(spread, ["category", "level", "ai", "aj"])
+    reach = (first.join(marks, ["category", "level", "ai", "aj"])
              .groupBy("ci", "cj", "category", "clat", "clon", "half").agg(F.min(to_point).alias("d0"))
              .withColumn("reach", F.col("d0") + F.col("half") * 2))
     # Smallest level whose 3 x 3 block surely covers that reach around the centre.
     level = F.ceil(F.log2(F.greatest((F.col("reach") + F.col("half")) / side, F.lit(1.0)))).cast("int")
     level = F.when(F.col("reach") > far, F.lit(_LEVELS - 1)).otherwise(F.least(level, F.lit(_LEVELS - 1)))
     return (reach.withColumn("level", level).withColumns(block)
-            .join(spread, ["category", "level", "ai", "aj"])
+            .join(marks, ["category", "level", "ai", "aj"])
             .filter(to_point <= F.col("reach"))
             .select("ci", "cj", "category", "p_lat", "p_lon"))
 
@@ -428,7 +450,7 @@ def nearest_poi(df: DataFrame, pois: DataFrame, category_map: Mapping[str, Seque
             degree_distance("lat", "lon", "p_lat", "p_lon") * F.lit(V.DEG_TO_KM))
     else:
         candidates, dist = nearest_candidates(spots, pts, "feature"), haversine_km("lat", "lon", "p_lat", "p_lon")
-    best = (spots.withColumns(_fine_cell("lat", "lon")).join(candidates, ["ci", "cj"])
+    best = (spread(spots.withColumns(_fine_cell("lat", "lon")), "ci", "cj").join(candidates, ["ci", "cj"])
             .groupBy("lat", "lon").agg(*[
                 round_even(F.min(F.when(F.col("category") == f, dist)), 3).alias(f) for f in feature_map]))
     return attach(df, best, ["lat", "lon"])

@@ -129,7 +129,24 @@ SELECT doc_id AS id, CASE country WHEN 'MT' THEN 1 ELSE 2 END AS country_id,
 FROM listings
 """
 
+# Named places with a position, one per nation, on both islands.
+CENTROIDS = """
+SELECT CASE n_nationkey WHEN 0 THEN 'Sliema' WHEN 1 THEN 'Gzira' WHEN 2 THEN 'Zejtun' WHEN 3 THEN 'Birzebbuga' WHEN 4 THEN 'St Julian''s'
+       WHEN 5 THEN 'Msida' WHEN 6 THEN 'Rabat' WHEN 7 THEN 'Gozo - Rabat' WHEN 8 THEN 'Gozo - Victoria' WHEN 9 THEN 'Gozo - Qala'
+       ELSE n_name END AS locality,
+  (3580000 + n_nationkey * 7919 % 20000 + CASE WHEN n_nationkey IN (7, 8, 9) THEN 25000 ELSE 0 END) / 100000 AS lat,
+  (1418000 + n_nationkey * 104729 % 40000) / 100000 AS lon FROM nation
+"""
+# A geocode cache with hits, remembered misses and gaps.
+GEOCODE_CACHE = """
+SELECT concat('near ', lower(title), '|', locality) AS cache_key, length(title) % 3 <> 0 AS found,
+  CASE WHEN length(title) % 3 <> 0 THEN CAST(30 + length(title) AS DOUBLE) END AS lat,
+  CASE WHEN length(title) % 3 <> 0 THEN CAST(14 AS DOUBLE) END AS lon
+FROM (SELECT DISTINCT title, locality FROM listings) d WHERE length(title) % 5 <> 0
+"""
+
 STATEMENTS = {
+    "centroids": CENTROIDS, "geocode_cache": GEOCODE_CACHE,
     "listings": LISTINGS, "batch1": BATCH1, "batch2": BATCH2, "pois": POIS,
     "requests": REQUESTS, "llm_text": LLM_TEXT, "text_features": TEXT_FEATURES,
     "countries": COUNTRIES, "regions": REGIONS, "properties": PROPERTIES,
@@ -137,6 +154,7 @@ STATEMENTS = {
     "card_pages": texts.CARD_PAGES, "detail_pages": texts.DETAIL_PAGES,
 }
 NEEDS = {
+    "centroids": (), "geocode_cache": ("listings",),
     "listings": (), "batch1": ("listings",), "batch2": ("listings",), "pois": (),
     "requests": (), "llm_text": ("listings",), "text_features": ("listings",),
     "countries": (), "regions": (), "properties": ("listings",), "texts": ("listings",),
