@@ -1 +1,139 @@
-"""Queries."""
+"""Estimates, bands, models and composite jobs."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parcelgrid.checks.market import r
+from parcelgrid.checks.quality import FLAGGED, KEYED, TITLED, titled  # noqa: F401
+from parcelgrid.checks.registry import AS_OF, query
+from parcelgrid.checks.spatial import DENSITY_AS_OF, priced_properties
+from parcelgrid.functions.common import round_even
+from parcelgrid.functions.responses import with_text_features
+from parcelgrid.operators import valuation as V
+from parcelgrid.plans import model as MO
+from parcelgrid.plans import pipelines as PL
+from parcelgrid.session import fresh_path, materialize
+
+# --- Scoring expressions -----------------------------------------------------------------------------
+query("valuation_band", f"""
+SELECT doc_id, {r('greatest(0, price_eur * (1 - b))', -2)} AS low, {r('price_eur * (1 + b)', -2)} AS high FROM (SELECT doc_id, price_eur,
+  least(greatest(m * 1.25::DOUBLE, 0.12::DOUBLE) + ok % 20 * 0.02::DOUBLE, 0.45::DOUBLE) AS b FROM (SELECT *, pk % 30 / CAST(100 AS DOUBLE) AS m FROM listings))""")(
+    lambda t: t.listings.select("doc_id", V.valuation_band("price_eur", F.col("pk") % 30 / F.lit(100.0), F.col("ok") % 20).alias("b")).select("doc_id", "b.low", "b.high"))
+query("ensemble_predict", f"""
+SELECT doc_id, {r("exp(0.85::DOUBLE * ln(price_eur) + 0.15::DOUBLE * ln(area_sqm * 2000)) * CASE country WHEN 'MT' THEN 0.97::DOUBLE ELSE 0.93::DOUBLE END", 3)} AS price
+FROM listings WHERE price_eur > 0""")(
+    lambda t: t.listings.filter("price_eur > 0").select("doc_id", round_even(V.ensemble_predict(F.log("price_eur"), F.log(F.col("area_sqm") * 2000), country="country"), 3).alias("price")))
+query("enriched_confidence", f"""
+SELECT doc_id, {r("greatest(30, least(95, 82 - 5 * (CAST(ok % 2 = 0 AS INT) + CAST(ok % 3 = 0 AS INT)) - 2 * (CAST(ok % 5 = 0 AS INT) + CAST(pk % 2 = 0 AS INT)) - CASE WHEN pk % 3 = 0 THEN 0 ELSE 6 END))", 1)} AS score FROM listings""")(
+    lambda t: t.listings.select("doc_id", V.enriched_confidence(F.array_compact(F.array(
+        F.when(F.col("ok") % 2 == 0, "locality_enc"), F.when(F.col("ok") % 3 == 0, "llm_condition"), F.when(F.col("ok") % 5 == 0, "rooms"),
+        F.when(F.col("pk") % 2 == 0, "bathrooms"), F.when(F.col("ok") % 5 == 0, "rooms"))), F.col("pk") % 3 == 0).alias("score")))
+query("method_router", """
+SELECT doc_id, CASE WHEN ok % 2 = 0 AND pk % 100 >= 30 THEN 'model' WHEN ok % 3 > 0 THEN 'comparables' ELSE 'no_data' END AS method FROM listings""")(
+    lambda t: t.listings.select("doc_id", V.method_router(F.col("ok") % 2 == 0, F.col("pk") % 100, F.col("ok") % 3).alias("method")))
+
+# --- Composite jobs with exact results --------------------------------------------------------------------
+query("quality_pipeline", f"""
+, {FLAGGED}, {KEYED}, dup AS (SELECT doc_id, CASE WHEN has_key THEN nullif(first_id, doc_id) END AS duplicate_of FROM (SELECT *, min(doc_id) OVER (PARTITION BY has_key, kp, ka, kt) AS first_id FROM keyed))
+SELECT f.doc_id AS external_id, f.price_eur, {r('price_eur / area_sqm', 2)} AS price_per_sqm FROM flagged f JOIN dup USING (doc_id)
+WHERE flags = '' AND duplicate_of IS NULL AND lat <> 0 AND lon <> 0 AND price_eur <> 0 AND area_sqm <> 0 AND is_active""")(
+    lambda t: PL.quality_pipeline(titled(t), by=("locality",))[1].select("external_id", "price_eur", "price_per_sqm"))
+query("item_pipeline", f"""
+SELECT substr(sha256(concat(source, ':', doc_id)), 1, 16) AS dedup_hash, CASE WHEN ok % 5 = 0 THEN {r('price_eur * (1 / CAST(1.95583 AS DOUBLE))', 2)} ELSE price_eur END AS price_eur,
+  property_type, locality, lat, TRUE AS is_active FROM texts WHERE price_eur <> 0""", ("texts",))(lambda t: _items(t))
+
+
+def _items(t):
+    items = t.texts.select("doc_id", "source", F.col("doc_id").alias("external_id"), F.col("price_eur").alias("price"), "price_currency", "address_raw", "locality",
+                           F.upper("property_type").alias("property_type"), "area_sqm", "lat", "lon", F.col("country").alias("country_code"))
+    target = t.spark.createDataFrame([], "dedup_hash string, price_eur double, price_adjusted_eur double, property_type string, locality string, lat double, "
+                                         "is_active boolean, created_at timestamp, scraped_at timestamp")
+    out = PL.item_pipeline(items, t.geocode_cache, target, AS_OF, ["doc_id"], countries=t.countries)
+    return out.select("dedup_hash", "price_eur", "property_type", "locality", "lat", F.coalesce("is_active", F.lit(True)).alias("is_active"))
+
+
+query("market_report", f"""
+SELECT 'countries' AS part, country AS name, count(*) AS n, {r('avg(price_eur)', 4)} AS avg_price FROM listings WHERE price_eur > 0 GROUP BY country
+UNION ALL SELECT 'property_types', property_type, count(*), NULL FROM listings GROUP BY property_type
+UNION ALL SELECT * FROM (SELECT 'localities', locality, count(*) AS n, NULL FROM listings GROUP BY locality ORDER BY n DESC, locality LIMIT 10)""")(lambda t: _report(t))
+
+
+def _report(t):
+    parts = PL.market_report(t.listings)
+    none = F.lit(None).cast("double").alias("avg_price")
+    return (parts["countries"].select(F.lit("countries").alias("part"), F.col("country").alias("name"), "n", round_even("avg_price", 4).alias("avg_price"))
+            .unionByName(parts["property_types"].select(F.lit("property_types").alias("part"), F.col("value").alias("name"), "n", none))
+            .unionByName(parts["localities"].select(F.lit("localities").alias("part"), F.col("value").alias("name"), "n", none)))
+
+
+# --- Model jobs: rows only ------------------------------------------------------------------------------------
+SMALL = dict(trees=8, depth=5)
+COLUMNS = ["lat", "lon", "area_sqm", "area_sqm_log", "bedrooms", "dist_coast_km", "dist_cbd_km", "dist_school_km", "dist_restaurant_km", "poi_count_500m",
+           "rental_density_2km", "llm_condition", "llm_quality_tier", "llm_construction_status", "locality_enc"]
+
+
+def located_pois(t):
+    return t.pois.withColumn("country", F.lit("MT"))
+
+
+def populations(t):
+    return t.nation.select(F.lit("MT").alias("country"), F.col("n_name").alias("city"), (F.col("n_nationkey") * 1000 + 500).cast("long").alias("population"))
+
+
+def run_features(t):
+    return t.text_features.select("doc_id", F.struct("condition", "construction_status", "quality_tier", "actual_living_area").alias("features"))
+
+
+def matrix(t, deal):
+    return PL.matrix_for(t.listings.filter("country = 'MT'"), deal, AS_OF, located_pois(t), populations(t), run_features(t))
+
+
+query("build_features")(lambda t: matrix(t, "sale"))
+def trained(t, deal="rent"):
+    return MO.train_cv(materialize(matrix(t, deal)), COLUMNS, k=3, **SMALL)
+
+
+query("train_cv")(lambda t: trained(t).metrics)
+query("monotonicity_check")(lambda t: _monotone(t))
+
+
+def _monotone(t):
+    m = materialize(matrix(t, "sale"))
+    model = MO.train_cv(m, COLUMNS, k=2, **SMALL)
+    return MO.monotonicity_check(m, COLUMNS, model.boosted, model.forest)
+
+
+def _registry(t):
+    root = fresh_path(t.spark, "models")
+    model = trained(t)
+    MO.register_model(t.spark, root, "mt_apartment_rent", "v1", model, 20.0, None)
+    MO.register_model(t.spark, root, "mt_apartment_rent", "v2", model, 18.0, None)
+    rows = t.spark.read.schema(MO.REGISTRY).parquet(f"{root}/_registry")
+    return MO.model_registry(rows, "mt_apartment_rent").select("version", "kind", "mape")
+
+
+query("model_registry")(_registry)
+query("rental_yields")(
+    lambda t: PL.rental_yields(t.listings.filter("country = 'MT'"), AS_OF, located_pois(t), populations(t), run_features(t), columns=COLUMNS, k=2, **SMALL)
+    .select("doc_id", "locality", "price_eur", "predicted_rent", "gross_yield"))
+
+
+def valuation_requests(t):
+    asked = t.requests.withColumn("doc_id", F.col("request_id").cast("string")).withColumn(
+        "response", F.concat(F.lit('{"condition": '), (F.col("request_id") % 5 + 1).cast("string"), F.lit(', "view": "sea"}')))
+    return with_text_features(asked.withColumn("locality", F.lit(None).cast("string")), "response").select(
+        "doc_id", "country", "lat", "lon", "locality", "area_sqm", "text")
+
+
+def score_requests(t, requests, model):
+    return PL.batch_valuation(requests, model, 18.0, t.centroids, located_pois(t), [c for c in COLUMNS if c != "rental_density_2km"])
+
+
+def _valued(t):
+    columns = [c for c in COLUMNS if c != "rental_density_2km"]
+    model = MO.train_cv(materialize(matrix(t, "sale")), columns, k=2, **SMALL)
+    return score_requests(t, valuation_requests(t), model)
+
+
+query("batch_valuation")(_valued)
+query("comparables_valuation")(lambda t: PL.comparables_valuation(t.requests, priced_properties(t), DENSITY_AS_OF))

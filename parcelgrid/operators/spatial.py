@@ -435,22 +435,31 @@ def nearest_candidates(spots: DataFrame, points: DataFrame, category: str = "cat
 
 
 def nearest_poi(df: DataFrame, pois: DataFrame, category_map: Mapping[str, Sequence[str]] | None = None,
-                method: str = "haversine") -> DataFrame:
+                method: str = "haversine", country: str | None = None) -> DataFrame:
     """Adds one distance column per feature: kilometres to the nearest point of its
     categories, NULL when there is none.
 
+    With `country`, a column of `df`, only points of the same country count.
     `method="degree"` gives the older figure, degrees times 100.4.
     """
     feature_map = V.POI_DISTANCE_FEATURES if category_map is None else category_map
     named = F.create_map(*[F.lit(x) for f, cats in feature_map.items() for c in cats for x in (c, f)])
     pts = pois.withColumn("feature", F.try_element_at(named, F.col("category"))).filter("feature IS NOT NULL")
-    spots = df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("lat", "lon").distinct()
+    keys = [country] if country else []
+    if country:
+        pts = pts.withColumn("feature", F.concat_ws("|", "country", "feature"))
+    spots = (df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+             .select("lat", "lon", *[F.col(k) for k in keys]).distinct())
     if method == "degree":
         candidates, dist = nearest_candidates(spots, pts, "feature", "degree"), (
             degree_distance("lat", "lon", "p_lat", "p_lon") * F.lit(V.DEG_TO_KM))
     else:
         candidates, dist = nearest_candidates(spots, pts, "feature"), haversine_km("lat", "lon", "p_lat", "p_lon")
+
+    def wanted(feature):
+        return F.concat_ws("|", F.col(country), F.lit(feature)) if country else F.lit(feature)
+
     best = (spread(spots.withColumns(_fine_cell("lat", "lon")), "ci", "cj").join(candidates, ["ci", "cj"])
-            .groupBy("lat", "lon").agg(*[
-                round_even(F.min(F.when(F.col("category") == f, dist)), 3).alias(f) for f in feature_map]))
-    return attach(df, best, ["lat", "lon"])
+            .groupBy("lat", "lon", *keys).agg(*[
+                round_even(F.min(F.when(F.col("category") == wanted(f), dist)), 3).alias(f) for f in feature_map]))
+    return attach(df, best, ["lat", "lon", *keys])

@@ -202,8 +202,17 @@ def with_clause(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({statement(n, 'duckdb')})" for n in order) + "\n"
 
 
+SPREAD_KEYS = {"lineitem": ("l_orderkey", "l_linenumber", "l_partkey"), "orders": ("o_orderkey",), "events": ("event_id",)}
+
+
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table.  A fact table that is a single small file is spread over all
+    tasks; one of many files already is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tasks = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and len(df.inputFiles()) < tasks:
+        df = df.repartition(tasks, *SPREAD_KEYS[name])
+    return df
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -58,7 +58,7 @@ SELECT doc_id, ok, pk, concat('{"MLS": "', doc_id, '", "Id": ', CAST(pk AS VARCH
     '", "Zone": "', CASE WHEN pk % 4 = 0 THEN 'Tigne' ELSE '' END, '", "Town": "', locality, '", "Province": ',
     CASE WHEN pk % 3 = 0 THEN '"Gozo"' ELSE 'null' END,
     ', "TotalBedrooms": ', CASE WHEN bedrooms IS NULL THEN 'null' ELSE CAST(bedrooms AS VARCHAR) END,
-    ', "Coordinates": {"lat": ', CASE WHEN lat IS NULL THEN 'null' ELSE CAST(CAST(lat * 10 AS BIGINT) AS VARCHAR) END, '}}') AS raw_json,
+    ', "Coordinates": {"lat": ', CASE WHEN lat IS NULL THEN 'null' ELSE CAST(CAST(floor(lat * 10) AS BIGINT) AS VARCHAR) END, '}}') AS raw_json,
   concat('{"Description": "', CASE WHEN ok % 4 = 0 THEN '' ELSE concat('Detail of ', title) END,
     '", "Features": [', CASE ok % 4 WHEN 0 THEN '' WHEN 1 THEN '{"Name": "Balcony"}, {"Name": "Lift"}'
                              WHEN 2 THEN '{"Name": "Communal Pool"}, {"Name": ""}' ELSE '{"Name": "A/C"}, {"Name": "Roof Terrace"}' END,
@@ -79,7 +79,7 @@ SELECT doc_id AS page_id, ok, pk, p, a, country, locality, lat, lon, title,
     '"}]}</script><script type="application/ld+json">{"@type":"Offer","price":', CASE WHEN p IS NULL THEN 'null' ELSE CAST(p AS VARCHAR) END,
     ',"itemOffered":{"sku":"S', CAST(ok AS VARCHAR), '","image":', CASE WHEN ok % 2 = 0 THEN '"u1"' ELSE '["u1","u2"]' END,
     '},"seller":{"name":"Seller ', CAST(pk % 50 AS VARCHAR), '"}}</script></head><body><h1> ', bg_title, '  <b>', title,
-    '</b></h1><input type="hidden" name="mapn" value="', CASE WHEN lat IS NULL THEN 'x,y' ELSE concat(CAST(CAST(lat * 100000 AS BIGINT) AS VARCHAR), 'e-5,', CAST(CAST(lon * 100000 AS BIGINT) AS VARCHAR), 'e-5') END,
+    '</b></h1><input type="hidden" name="mapn" value="', CASE WHEN lat IS NULL THEN 'x,y' ELSE concat(CAST(CAST(floor(lat * 100000 + 0.5) AS BIGINT) AS VARCHAR), 'e-5,', CAST(CAST(floor(lon * 100000 + 0.5) AS BIGINT) AS VARCHAR), 'e-5') END,
     '"><div class="adPrice"><div class="cena">', eur_bgn_text, '</div> ', vat_text, ' <span>', CAST(pk % 90 AS VARCHAR), ' 5,5 €/m2</span><div class="info">5 май, 2026 посетена ',
     CAST(ok AS VARCHAR), ' пъти</div></div><div class="adParams"><div>Площ: <strong>', CASE WHEN a IS NULL THEN '-' ELSE CAST(a AS VARCHAR) END, ' m<sup>2</sup></strong></div><div>',
     CASE pk % 3 WHEN 0 THEN 'Етаж: 8-ми от 9' WHEN 1 THEN 'Партер от 4' ELSE 'Етаж: 2-ри' END, '</div><div>Строителство: ',
@@ -108,7 +108,7 @@ DETAIL_PAGES = """
 SELECT doc_id AS page_id, ok, pk, p, a, title,
   concat('<h1 class="top-title"><span> ', title, ' </span></h1><h1 class="top-price">', CASE WHEN p IS NULL THEN 'call' ELSE concat('€ ', CAST(thousands AS VARCHAR), ',', lpad(CAST(p % 1000 AS VARCHAR), 3, '0')) END,
     '</h1><div class="readmore-wrapper">A flat of ', CAST(30 + pk % 70 AS VARCHAR), ' sqm with terrace</div><div class="item-details"><span class="item"><b>Property Type:</b> <span>', class_type,
-    '</span></span><span class="item"><b>Locality:</b><span>', locality, '</span></span><span class="item"><label>Bedrooms:</label><span>', CAST(pk % 5 AS VARCHAR), ' beds</span></span><span class="item"><b>Level of Finish:</b><span>', condition_text,
+    '</span></span><span class="item"><b>Locality:</b><span>', locality, '</span></span><span class="item"><label>Bedrooms:</label><span>', CAST(pk % 5 AS VARCHAR), ' beds</span></span><span class="item"><b>Level of Finish:</b><span>', COALESCE(condition_text, ''),
     '</span></span><span class="item"><b>Pool:</b><span>', CASE WHEN ok % 2 = 0 THEN 'No' ELSE 'Communal' END, '</span></span>',
     CASE WHEN a IS NULL THEN '' ELSE concat('<span class="item"><b>Size:</b><span>', CAST(a AS VARCHAR), '</span></span>') END, '</div><p>', CASE WHEN ok % 3 = 0 THEN 'with LIFT' ELSE 'garage' END, '</p>') AS classified_html,
   concat('<html><script>var price="€ 1";</script><h1>', CAST(1 + pk % 4 AS VARCHAR), ' Bedroom ', CASE pk % 4 WHEN 0 THEN 'Penthouse' WHEN 1 THEN 'Bungalow' WHEN 2 THEN 'Flat' ELSE 'Townhouse' END,
