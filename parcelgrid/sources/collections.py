@@ -25,8 +25,13 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT)
         F.monotonically_increasing_id().alias("row")))
 
 
-def corrupt_lines(lines: DataFrame) -> DataFrame:
-    return lines.filter(F.col(CORRUPT).isNotNull()).select(F.col("_ordinal.file").alias("file"), CORRUPT)
+def corrupt_lines(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:
+    """(file, line) of every line that is not valid JSON, for a quarantine table."""
+    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("value", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), parsed.alias("d")) \
+        .filter(F.col(f"d.{CORRUPT}").isNotNull()).select("file", "line")
 
 
 def read_collection(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:
@@ -79,10 +84,10 @@ def merge_enrichment_runs(runs: Sequence[DataFrame]) -> DataFrame:
             .agg(F.max_by("features", "nth").alias("features")))
 
 
-def list_enrichment_runs(spark: SparkSession, root: str) -> DataFrame:
+def list_enrichment_runs(spark: SparkSession, root: str, pattern: str = "*/metadata.json") -> DataFrame:
     schema = ("run_id string, collection string, model string, with_images boolean, started_at string, "
               "finished_at string, doc_count long, status string")
-    return (spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/metadata.json")
+    return (spark.read.schema(schema).option("multiLine", True).json(f"{root}/{pattern}")
             .orderBy("run_id"))
 
 
@@ -98,17 +103,20 @@ def join_enrichment(docs: DataFrame, features: DataFrame, out: str = "text") ->
 # --- Reference data --------------------------------------------------------------------------------
 
 def read_pois(spark: SparkSession, directory: str, country: str | None = None) -> DataFrame:
-    """(country, category, lat, lon) from one JSON array of pairs per file.
+    """(country, category, lat, lon) from JSON arrays of pairs, one array per line.
 
-    A file named `bg_schools.json` belongs to BG; a name without prefix to MT.
+    The category is the file's name (`schools.json`, `bg_schools.json` for BG) or its
+    folder's (`name=bg_schools/`); a name without prefix belongs to MT.
     """
-    files = spark.read.option("wholetext", True).text(f"{directory}/*.json").select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("name"), "value")
+    path = F.col("_metadata.file_path")
+    name = F.coalesce(null_if_empty(F.regexp_extract(path, r"/name=([^/]+)/", 1)),
+                      F.regexp_extract(path, r"/([^/]+)\.json$", 1))
+    lines = (spark.read.option("recursiveFileLookup", True).text(directory)
+             .select(name.alias("name"), F.from_json("value", "array<array<double>>").alias("ps")))
     prefix = r"^(bg|cy|hr)_"
-    rows = files.select(
+    rows = lines.select(
         F.coalesce(F.upper(null_if_empty(F.regexp_extract("name", prefix, 1))), F.lit("MT")).alias("country"),
-        F.regexp_replace("name", prefix, "").alias("category"),
-        F.explode(F.from_json("value", "array<array<double>>")).alias("p"))
+        F.regexp_replace("name", prefix, "").alias("category"), F.explode("ps").alias("p"))
     out = rows.select("country", "category", F.col("p")[0].alias("lat"), F.col("p")[1].alias("lon"))
     return out.filter(F.col("country") == country) if country else out
 
