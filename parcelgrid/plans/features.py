@@ -15,7 +15,9 @@ from parcelgrid.functions.scalar import (
     listing_year, override_area, parse_listing_date,
 )
 from parcelgrid.operators.places import city_population
-from parcelgrid.operators.spatial import nearest_poi, radius_count, rental_density
+from parcelgrid.operators.ranking import attach
+from parcelgrid.operators.spatial import nearest_poi, range_aggregate
+from parcelgrid.session import materialize
 from parcelgrid.sources.collections import join_enrichment
 
 KEY_DISTANCES = sorted(f"dist_{name}_km" for places in V.KEY_LOCATIONS.values() for name in places)
@@ -42,23 +44,35 @@ def listing_time(df: DataFrame):
     return F.coalesce(listing_time_from_url(col_or_null(df, "url", "string")), parse_listing_date(stated))
 
 
-def with_map_features(df: DataFrame, pois: DataFrame, method: str = "haversine") -> DataFrame:
-    """Distances to the coast, the centre, named places and points of interest, and
-    counts of points nearby.  Points of a country count for listings in it.
+def map_features(df: DataFrame, pois: DataFrame, rentals: DataFrame | None = None, method: str = "haversine") -> DataFrame:
+    """One row per distinct position of `df`: distances to the coast, the centre, named
+    places and points of interest, and counts of points and rentals nearby.
 
+    Points of interest count for positions in their own country.  The positions are
+    written once; every feature reads that table, so the listing plan runs once.
     `method="degree"` keeps the older training-time figures for comparison.
     """
-    degree = method == "degree"
-    coast = coast_distance_train if degree else coast_distance_serve
-    placed = df.withColumn("map_country", detect_country_from_coords("lat", "lon")).withColumns({
-        "dist_coast_km": coast("lat", "lon"), "dist_cbd_km": cbd_distance("lat", "lon"),
-        **key_location_distances("lat", "lon", "map_country")})
-    near = nearest_poi(placed, pois, method=method, country="map_country")
-    points = pois.select(F.col("country").alias("map_country"), "category", "lat", "lon")
-    counted = radius_count(near, points, V.POI_RADIUS_KM, "poi_count_500m", match=["map_country"])
+    spots = materialize(df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("lat", "lon").distinct()
+                        .withColumn("map_country", detect_country_from_coords("lat", "lon")))
+    coast = coast_distance_train if method == "degree" else coast_distance_serve
+    points = materialize(pois.select(F.col("country").alias("map_country"), "category", "lat", "lon"))
     dining = points.filter(F.col("category").isin(*V.DINING_CATEGORIES))
-    out = radius_count(counted, dining, V.POI_RADIUS_KM, "dining_count_500m", match=["map_country"])
-    return out.withColumns({c: F.col(c).cast("double") for c in ("poi_count_500m", "dining_count_500m")}).drop("map_country")
+    here = ["map_country", "lat", "lon"]
+    out = nearest_poi(spots, points.withColumnRenamed("map_country", "country"), method=method, country="map_country")
+    for name, some in (("poi_count_500m", points), ("dining_count_500m", dining)):
+        counts = range_aggregate(spots, some, V.POI_RADIUS_KM, match=["map_country"]).withColumnRenamed("in_range", name)
+        out = attach(out, counts, here).withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("double"))
+    density = F.lit(None).cast("double")
+    if rentals is not None:
+        near = range_aggregate(spots, materialize(rentals.select("lat", "lon")), 2.0, "planar").withColumnRenamed("in_range", "__rentals")
+        out, density = attach(out, near, ["lat", "lon"]), F.coalesce("__rentals", F.lit(0)).cast("double")
+    return out.withColumns({
+        "rental_density_2km": density, "dist_coast_km": coast("lat", "lon"), "dist_cbd_km": cbd_distance("lat", "lon"),
+        **key_location_distances("lat", "lon", "map_country")}).drop("map_country", "__rentals")
+
+
+def with_map_features(df: DataFrame, pois: DataFrame, rentals: DataFrame | None = None, method: str = "haversine") -> DataFrame:
+    return attach(df, map_features(df, pois, rentals, method), ["lat", "lon"])
 
 
 def build_features(docs: DataFrame, as_of, pois: DataFrame, populations: DataFrame, rentals: DataFrame | None = None,
@@ -97,11 +111,7 @@ def build_features(docs: DataFrame, as_of, pois: DataFrame, populations: DataFra
     if vat_in_target:
         df = df.withColumn("price_eur", F.when(F.col("vat_status") == "excluded", F.col("price_eur") * V.VAT_RATE)
                            .otherwise(F.col("price_eur")))
-    df = with_map_features(df, pois, method)
-    if rentals is None:
-        df = df.withColumn("rental_density_2km", F.lit(None).cast("double"))
-    else:
-        df = rental_density(df, rentals).withColumn("rental_density_2km", F.col("rental_density_2km").cast("double"))
+    df = with_map_features(materialize(df), pois, rentals, method)
     columns = [n for n in feature_names() if n not in CODES]
     keep = [c for c in ("vat_status", "url", "source", "country") if c in df.columns]
     return df.select("doc_id", "price_eur", "locality", "province", *keep, *columns)
