@@ -26,6 +26,9 @@ def build_session(app: str = "parcelgrid", master: str | None = None,
     return b.getOrCreate()
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 
@@ -35,8 +38,8 @@ def work_dir(spark: SparkSession) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="parcelgrid-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _local_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="parcelgrid-")
+        _local_dirs[spark.sparkContext.applicationId] = shared
     return shared.rstrip("/")
 
 
