@@ -115,13 +115,12 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, out: str = "nearest")
     pts = (island_keys(centroids).join(centroids, F.col("key") == F.col("locality"))
            .select("island", "key", "lat", "lon"))
     spots = (df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-             .select("lat", "lon").distinct())
-    cand = nearest_candidates(spots, pts, "island")
-    named = cand.join(pts.select(F.col("island").alias("category"), F.col("lat").alias("p_lat"),
-                                 F.col("lon").alias("p_lon"), "key"), ["category", "p_lat", "p_lon"])
+             .select("lat", "lon").distinct().withColumn("island", island_of("lat")))
+    cand = nearest_candidates(spots, pts.withColumn("category", F.lit("place")), by=["island"])
+    named = cand.join(pts.select("island", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "key"),
+                      ["island", "p_lat", "p_lon"])
     dist = haversine_km("lat", "lon", "p_lat", "p_lon")
-    best = (spots.withColumns(_fine_cell("lat", "lon")).join(named, ["ci", "cj"])
-            .filter(F.col("category") == island_of("lat"))
+    best = (spots.withColumns(_fine_cell("lat", "lon")).join(named, ["island", "ci", "cj"])
             .groupBy("lat", "lon").agg(F.min(F.struct(dist.alias("d"), "key"))["key"].alias(out)))
     return attach(df, best, ["lat", "lon"])
 

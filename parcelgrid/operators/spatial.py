@@ -388,11 +388,13 @@ def degree_distance(lat1, lon1, lat2, lon2) -> Column:
 
 
 def nearest_candidates(spots: DataFrame, points: DataFrame, category: str = "category",
-                       metric: str = "haversine") -> DataFrame:
+                       metric: str = "haversine", by: Sequence[str] = ()) -> DataFrame:
     """For every occupied fine cell and category, the points that can be nearest to
     some position in the cell.  Works on cells, so its size follows the map, not
-    the number of listings.  Returns (ci, cj, category, p_lat, p_lon)."""
-    cells = spots.withColumns(_fine_cell("lat", "lon")).select("ci", "cj").distinct()
+    the number of listings.  Cells only look at points that agree in the `by` columns.
+    Returns (by.., ci, cj, category, p_lat, p_lon)."""
+    by = list(by)
+    cells = spots.withColumns(_fine_cell("lat", "lon")).select(*by, "ci", "cj").distinct()
     clat, clon = (F.col("ci") + 0.5) * _FINE, (F.col("cj") + 0.5) * _FINE
     if metric == "haversine":
         edge = F.greatest(F.abs(clat) - _FINE / 2, F.lit(0.0))
@@ -409,29 +411,29 @@ def nearest_candidates(spots: DataFrame, points: DataFrame, category: str = "cat
     near3 = F.array(F.lit(-1), F.lit(0), F.lit(1))
     # Each point marks the 3 x 3 block around its cell, at every level.
     marks = (points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-              .select(F.col(category).alias("category"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+              .select(*by, F.col(category).alias("category"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
               .distinct().withColumns(_fine_cell("p_lat", "p_lon"))
               .withColumn("level", levels)
               .withColumn("di", F.explode(near3)).withColumn("dj", F.explode(near3))
-              .select("category", "p_lat", "p_lon", "level", (_at_level("ci") + F.col("di")).alias("ai"),
+              .select(*by, "category", "p_lat", "p_lon", "level", (_at_level("ci") + F.col("di")).alias("ai"),
                       (_at_level("cj") + F.col("dj")).alias("aj")))
-    occupied = marks.select("category", "level", "ai", "aj").distinct()
+    occupied = marks.select(*by, "category", "level", "ai", "aj").distinct()
     block = {"ai": _at_level("ci"), "aj": _at_level("cj")}
     first = (cells.withColumn("level", levels).withColumns(block)
-             .join(occupied, ["level", "ai", "aj"]).groupBy("ci", "cj", "category")
+             .join(occupied, [*by, "level", "ai", "aj"]).groupBy(*by, "ci", "cj", "category")
              .agg(F.min_by(F.struct("level", "ai", "aj", "clat", "clon", "half"), "level").alias("f"))
-             .select("ci", "cj", "category", "f.*"))
+             .select(*by, "ci", "cj", "category", "f.*"))
     # The best point of the first occupied block bounds the distance from the cell.
-    reach = (first.join(marks, ["category", "level", "ai", "aj"])
-             .groupBy("ci", "cj", "category", "clat", "clon", "half").agg(F.min(to_point).alias("d0"))
+    reach = (first.join(marks, [*by, "category", "level", "ai", "aj"])
+             .groupBy(*by, "ci", "cj", "category", "clat", "clon", "half").agg(F.min(to_point).alias("d0"))
              .withColumn("reach", F.col("d0") + F.col("half") * 2))
     # Smallest level whose 3 x 3 block surely covers that reach around the centre.
     level = F.ceil(F.log2(F.greatest((F.col("reach") + F.col("half")) / side, F.lit(1.0)))).cast("int")
     level = F.when(F.col("reach") > far, F.lit(_LEVELS - 1)).otherwise(F.least(level, F.lit(_LEVELS - 1)))
     return (reach.withColumn("level", level).withColumns(block)
-            .join(marks, ["category", "level", "ai", "aj"])
+            .join(marks, [*by, "category", "level", "ai", "aj"])
             .filter(to_point <= F.col("reach"))
-            .select("ci", "cj", "category", "p_lat", "p_lon"))
+            .select(*by, "ci", "cj", "category", "p_lat", "p_lon"))
 
 
 def nearest_poi(df: DataFrame, pois: DataFrame, category_map: Mapping[str, Sequence[str]] | None = None,
@@ -447,19 +449,13 @@ def nearest_poi(df: DataFrame, pois: DataFrame, category_map: Mapping[str, Seque
     pts = pois.withColumn("feature", F.try_element_at(named, F.col("category"))).filter("feature IS NOT NULL")
     keys = [country] if country else []
     if country:
-        pts = pts.withColumn("feature", F.concat_ws("|", "country", "feature"))
+        pts = pts.withColumnRenamed("country", country)
     spots = (df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-             .select("lat", "lon", *[F.col(k) for k in keys]).distinct())
-    if method == "degree":
-        candidates, dist = nearest_candidates(spots, pts, "feature", "degree"), (
-            degree_distance("lat", "lon", "p_lat", "p_lon") * F.lit(V.DEG_TO_KM))
-    else:
-        candidates, dist = nearest_candidates(spots, pts, "feature"), haversine_km("lat", "lon", "p_lat", "p_lon")
-
-    def wanted(feature):
-        return F.concat_ws("|", F.col(country), F.lit(feature)) if country else F.lit(feature)
-
-    best = (spread(spots.withColumns(_fine_cell("lat", "lon")), "ci", "cj").join(candidates, ["ci", "cj"])
+             .select("lat", "lon", *keys).distinct())
+    candidates = nearest_candidates(spots, pts, "feature", method, keys)
+    dist = degree_distance("lat", "lon", "p_lat", "p_lon") * F.lit(V.DEG_TO_KM) if method == "degree" \
+        else haversine_km("lat", "lon", "p_lat", "p_lon")
+    best = (spread(spots.withColumns(_fine_cell("lat", "lon")), *keys, "ci", "cj").join(candidates, [*keys, "ci", "cj"])
             .groupBy("lat", "lon", *keys).agg(*[
-                round_even(F.min(F.when(F.col("category") == wanted(f), dist)), 3).alias(f) for f in feature_map]))
+                round_even(F.min(F.when(F.col("category") == f, dist)), 3).alias(f) for f in feature_map]))
     return attach(df, best, ["lat", "lon", *keys])
