@@ -218,7 +218,8 @@ def spans(texts: DataFrame, heavy: int = 20_000) -> DataFrame:
     marks = save(marked.select((F.col("rn") > 1).alias("again"), F.when(F.col("rn") == 1, F.col("piece")).alias("piece"), "id", "at"), "anchors")
     open_ = marks.filter(~F.col("again"))
     filled = np.zeros((1 << BITS) // 8, dtype=np.uint8)
-    slot = F.shiftrightunsigned("piece", 64 - BITS) + 1  # Spark counts bits from 1
+    place_bits = F.shiftleft("id", 64 - BITS).bitwiseXOR(F.shiftleft(F.shiftright("at", 16), 68 - BITS))
+    slot = F.shiftrightunsigned(F.col("piece").bitwiseXOR(place_bits), 64 - BITS) + 1  # Spark counts bits from 1
     for r in (open_.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b"))
               .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).toLocalIterator()):  # at most 2**BITS bits
         block = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
@@ -226,13 +227,14 @@ def spans(texts: DataFrame, heavy: int = 20_000) -> DataFrame:
     shared = spark.sparkContext.broadcast(filled)
 
     def bodies(batches):
-        """Bytes of pieces that share an anchor with a different piece, cut by the side on which the bytes beside it are compared."""
+        """Bytes of first pieces (and of few others that fall on their bits) that share an anchor with a different piece, cut by the side on which the bytes beside it are compared."""
         marks_ = shared.value
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for i, part, bounds, shift in cuts(*binary(batch.column("text"))):
                 doc, start, n, place, _, piece = pieces(part, bounds)
-                s = (piece >> U(64 - BITS)).astype(np.int64)
+                where = (ids[i + doc].astype(U) << U(64 - BITS)) ^ ((start - bounds[doc] + shift).astype(U) << U(68 - BITS))
+                s = ((piece ^ where) >> U(64 - BITS)).astype(np.int64)
                 hit = np.flatnonzero((marks_[s >> 3] >> (s & 7).astype(np.uint8)) & 1)
                 raw, rows = part.tobytes(), []
                 for d, a, k, p in zip(doc[hit].tolist(), start[hit].tolist(), n[hit].tolist(), place[hit].tolist()):
