@@ -174,17 +174,28 @@ def join(docs: DataFrame) -> DataFrame:
     stars = (buckets.select("least", "doc_id").distinct().join(to_rep, "doc_id").withColumnRenamed("rep", "b").drop("doc_id")
              .join(to_rep.withColumnRenamed("doc_id", "least").withColumnRenamed("rep", "a"), "least"))
     tried = save(fit_to_link(ordered("a", "b", stars), sets), "parity_tried")
-    edges = save(links(docs, tried).union(classes.select("doc_id", "rep").filter("doc_id <> rep")), "parity_links")
-    found = components(edges)
-    of = found.select(F.col("id").alias("doc_id"), "component")
-    members = (buckets.select("key", "doc_id").join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-               .withColumn("c0", F.min("component").over(of_key)).withColumn("c1", F.max("component").over(of_key)).filter("c0 < c1")
-               .join(to_rep, "doc_id").select("key", "component", "rep").distinct())
-    open_ = save(members, "parity_open")
-    other = open_.select("key", F.col("component").alias("other"), F.col("rep").alias("b"))
-    rest = fit_to_link(ordered("rep", "b", open_.join(other, "key").filter("component < other")), sets).join(tried, ["a", "b"], "left_anti")
+    several = (classes.withColumn("a", F.min("rep").over(Window.partitionBy("doc_id"))).filter("a < rep")
+               .select("a", F.col("rep").alias("b")))  # an id with several texts holds their classes together
+    edges = save(links(docs, tried).union(several), "parity_links")
+
+    def classified(links_: DataFrame) -> DataFrame:
+        return (classes.join(components(links_).withColumnRenamed("id", "rep"), "rep", "left")
+                .select("doc_id", "rep", F.coalesce("component", "rep").alias("component")))
+
+    of = classified(edges)
+    parts_of = [F.col("sketch")[i].alias(f"k{i}") for i in range(DENSE)]
+    open_ = save(buckets.select("key", "doc_id").join(of, "doc_id").withColumn("c0", F.min("component").over(of_key))
+                 .withColumn("c1", F.max("component").over(of_key)).filter("c0 < c1").select("key", "component", "rep").distinct()
+                 .join(sets, "rep").select("key", "component", "rep", "n", *parts_of), "parity_open")
+    # sizes and sketches decide inside the join, so that only pairs that may link come out of it
+    x, y = open_.alias("x"), open_.alias("y")
+    far = sum(F.bit_count(F.col(f"x.k{i}").bitwiseXOR(F.col(f"y.k{i}"))) for i in range(DENSE))
+    near = ((F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & (5 * F.col("x.n") >= 4 * F.col("y.n"))
+            & (5 * F.col("y.n") >= 4 * F.col("x.n")) & (9 * far <= F.col("x.n") + F.col("y.n")))
+    rest = (ordered("r1", "r2", x.join(y, near).select(F.col("x.rep").alias("r1"), F.col("y.rep").alias("r2")))
+            .join(tried, ["a", "b"], "left_anti"))
     more = save(links(docs, save(rest, "parity_rest")), "parity_links")
     if not more.isEmpty():
-        of = components(edges.union(more)).select(F.col("id").alias("doc_id"), "component")
-    return (every.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
+        of = classified(edges.union(more))
+    return (every.select("doc_id", F.col("n").alias("n_shingles")).join(of.select("doc_id", "component").distinct(), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
