@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parcelgrid.checks.registry import query
 from parcelgrid.functions.common import round_even
 from parcelgrid.operators import market as M
+from parcelgrid.operators.ranking import dense_positions
 from parcelgrid.operators import yields as Y
 from parcelgrid.operators.ranking import top_k_per_probe
 from parcelgrid.sources.collections import union_collections
@@ -85,15 +86,19 @@ SELECT doc_id FROM listings WHERE (lower(title) LIKE '%red%' OR lower(locality)
   AND listing_type = 'sale' AND COALESCE(price_eur, 0) >= 100000 AND (price_eur IS NULL OR price_eur <= 300000)""")(
     lambda t: M.browse_filter(t.listings, "Red", listing_type="sale", min_price=100000, max_price=300000).select("doc_id"))
 query("browse_sort", """
-SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN price_eur <> 0 THEN price_eur END ASC NULLS LAST, doc_id) AS place
-FROM listings ORDER BY place LIMIT 200""")(
-    lambda t: _numbered(M.browse_sort(t.listings, "price_asc").limit(200), M.browse_order("price_asc")))
-
-
-def _numbered(df, order):
-    """Place of each row of a short ordered list, so that order itself is compared."""
-    from pyspark.sql import Window
-    return df.select("doc_id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN price_eur <> 0 THEN price_eur END ASC NULLS LAST, doc_id) AS price_asc,
+  row_number() OVER (ORDER BY CASE WHEN price_eur <> 0 THEN price_eur ELSE 0 END DESC, doc_id) AS price_desc,
+  row_number() OVER (ORDER BY COALESCE(area_sqm, 0) DESC, doc_id) AS area_desc,
+  row_number() OVER (ORDER BY last_seen DESC NULLS LAST, doc_id) AS newest FROM listings""")(lambda t: _numbered(t.listings))
+
+
+def _numbered(df):
+    """Place of every row under each of the four orders, so that order itself is compared."""
+    placed = None
+    for sort in ("price_asc", "price_desc", "area_desc", "newest"):
+        places = dense_positions(df, M.browse_order(sort), sort).select("doc_id", (F.col(sort) + 1).alias(sort))
+        placed = places if placed is None else placed.join(places, "doc_id")
+    return placed
 
 
 query("paginate", """

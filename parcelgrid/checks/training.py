@@ -57,10 +57,10 @@ def _enriched(t):
 
 # --- Folds and codes ------------------------------------------------------------------------------------
 query("spatial_folds", """
-SELECT doc_id, CAST(ntile(5) OVER (PARTITION BY locality ORDER BY floor(lat * 10000000), md5(doc_id)) - 1 AS INT) AS fold FROM listings WHERE lat IS NOT NULL""")(
+SELECT doc_id, CAST(ntile(5) OVER (PARTITION BY locality ORDER BY lat, md5(doc_id)) - 1 AS INT) AS fold FROM listings WHERE lat IS NOT NULL""")(
     lambda t: T.spatial_folds(t.listings.filter("lat IS NOT NULL").select("doc_id", "locality", "lat")).select("doc_id", "fold"))
 query("latitude_strips", """
-SELECT doc_id, CAST(ntile(5) OVER (ORDER BY floor(lat * 10000000), md5(doc_id)) - 1 AS INT) AS fold FROM listings WHERE lat IS NOT NULL""")(
+SELECT doc_id, CAST(ntile(5) OVER (ORDER BY lat, md5(doc_id)) - 1 AS INT) AS fold FROM listings WHERE lat IS NOT NULL""")(
     lambda t: T.latitude_strips(t.listings.filter("lat IS NOT NULL").select("doc_id", "lat")).select("doc_id", "fold"))
 query("label_codes", "SELECT DISTINCT title AS value, CAST(dense_rank() OVER (ORDER BY title) - 1 AS INT) AS code FROM listings")(
     lambda t: T.label_codes(t.listings, "title"))

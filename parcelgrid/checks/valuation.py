@@ -103,11 +103,16 @@ def _monotone(t):
     return MO.monotonicity_check(m, COLUMNS, model.boosted, model.forest)
 
 
+def mean_error(model):
+    """Mean percentage error of cross-validation."""
+    return float(model.metrics.first()["mape_pct"])
+
+
 def _registry(t):
     root = fresh_path(t.spark, "models")
-    model = trained(t)
-    MO.register_model(t.spark, root, "mt_apartment_rent", "v1", model, 20.0, None)
-    MO.register_model(t.spark, root, "mt_apartment_rent", "v2", model, 18.0, None)
+    for version, k in (("v1", 2), ("v2", 3)):
+        model = MO.train_cv(materialize(matrix(t, "rent")), COLUMNS, k=k, **SMALL)
+        MO.register_model(t.spark, root, "mt_apartment_rent", version, model, mean_error(model), None)
     rows = t.spark.read.schema(MO.REGISTRY).parquet(f"{root}/_registry")
     return MO.model_registry(rows, "mt_apartment_rent").select("version", "kind", "mape")
 
@@ -122,17 +127,17 @@ def valuation_requests(t):
     asked = t.requests.withColumn("doc_id", F.col("request_id").cast("string")).withColumn(
         "response", F.concat(F.lit('{"condition": '), (F.col("request_id") % 5 + 1).cast("string"), F.lit(', "view": "sea"}')))
     return with_text_features(asked.withColumn("locality", F.lit(None).cast("string")), "response").select(
-        "doc_id", "country", "lat", "lon", "locality", "area_sqm", "text")
+        "doc_id", "country", "listing_type", "lat", "lon", "locality", "area_sqm", "text")
 
 
-def score_requests(t, requests, model):
-    return PL.batch_valuation(requests, model, 18.0, t.centroids, located_pois(t), [c for c in COLUMNS if c != "rental_density_2km"])
+def score_requests(t, requests, models):
+    return PL.batch_valuation(requests, {deal: (m, mean_error(m)) for deal, m in models.items()}, t.centroids, located_pois(t), [c for c in COLUMNS if c != "rental_density_2km"])
 
 
 def _valued(t):
     columns = [c for c in COLUMNS if c != "rental_density_2km"]
-    model = MO.train_cv(materialize(matrix(t, "sale")), columns, k=2, **SMALL)
-    return score_requests(t, valuation_requests(t), model)
+    models = {deal: MO.train_cv(materialize(matrix(t, deal)), columns, k=2, **SMALL) for deal in ("sale", "rent")}
+    return score_requests(t, valuation_requests(t), models)
 
 
 query("batch_valuation")(_valued)

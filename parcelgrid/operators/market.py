@@ -184,8 +184,10 @@ def search_top(df: DataFrame, n: int = 100, id_col: str = "doc_id") -> DataFrame
 def bbox_filter(df: DataFrame, min_lat: float, max_lat: float, min_lon: float, max_lon: float,
                 property_type: str | None = None, min_price: float | None = None,
                 max_price: float | None = None, limit: int | None = 100, id_col: str = "id") -> DataFrame:
-    """Active listings strictly inside a box.  `limit` (500 at most) is the page size
-    of the query; None returns all."""
+    """Active listings strictly inside a box.  `limit` (500 at most, else an error) is the
+    page size of the query; None returns all."""
+    if limit is not None and not 0 < limit <= 500:
+        raise ValueError("limit must be between 1 and 500")
     out = df.filter((F.col("lat") > min_lat) & (F.col("lat") < max_lat) & (F.col("lon") > min_lon)
                     & (F.col("lon") < max_lon) & F.col("is_active"))
     if property_type:
@@ -194,7 +196,7 @@ def bbox_filter(df: DataFrame, min_lat: float, max_lat: float, min_lon: float, m
         out = out.filter(F.col("price_adjusted_eur") >= min_price)
     if max_price is not None:
         out = out.filter(F.col("price_adjusted_eur") <= max_price)
-    return out if limit is None else out.orderBy(id_col).limit(min(limit, 500))
+    return out if limit is None else out.orderBy(id_col).limit(limit)
 
 
 def property_rows(properties: DataFrame, countries: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def island_keys(centroids: DataFrame) -> DataFrame:
 
 def base_name(key) -> Column:
     key = col(key)
-    return F.when(key.startswith(V.GOZO_PREFIX), F.substring(key, len(V.GOZO_PREFIX) + 1, 10_000)).otherwise(key)
+    return F.when(key.startswith(V.GOZO_PREFIX), F.substr(key, F.lit(len(V.GOZO_PREFIX) + 1))).otherwise(key)
 
 
 @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("norm", T.StringType())]))

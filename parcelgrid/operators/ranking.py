@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelgrid.session import materialize
 from parcelgrid.functions.common import col
 
 
@@ -97,17 +98,17 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "medi
 # --- Ranks ------------------------------------------------------------------------------
 
 def rank_within(df: DataFrame, by: Sequence[str], order: str, id_col: str,
-                scale: float = 1e7, rank: str = "rank", total: str = "group_size") -> DataFrame:
+                scale: float = 1e4, rank: str = "rank", total: str = "group_size") -> DataFrame:
     """Zero-based rank of each row in its group by `order`, then by the hash of the id.
 
-    Values closer than 1/scale are ties.  Ranks come from counts at three nested
-    levels (coarse strip, fine strip, hash digits), so a single value shared by a
-    large part of a group is still spread over thousands of small pieces.
+    Ranks come from counts at three nested levels (strip of width 1/scale, value, hash
+    digits), so a single value shared by a large part of a group is still spread over
+    thousands of small pieces.
     """
     by = list(by)
     rows = df.withColumns({
-        "__l1": F.floor(F.col(order) * F.lit(scale / 1000)).cast("long"),
-        "__l2": F.floor(F.col(order) * F.lit(scale)).cast("long"),
+        "__l1": F.floor(F.col(order) * F.lit(scale)).cast("long"),
+        "__l2": F.col(order),
         "__h": F.md5(F.col(id_col).cast("string")),
     }).withColumn("__l3", F.substring("__h", 1, 3))
     c3 = rows.groupBy(*by, "__l1", "__l2", "__l3").agg(F.count("*").alias("__n3"))
@@ -131,6 +132,22 @@ def rank_within(df: DataFrame, by: Sequence[str], order: str, id_col: str,
     return placed.drop("__l1", "__l2", "__l3", "__h", "__o1", "__o2", "__o3")
 
 
+def dense_positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Adds the zero-based place of each row in a total order.
+
+    Rows are dealt by range and sorted inside partitions; only the row counts of the
+    partitions, one number each, go through a single window.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                         .withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    start = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
+    return (placed.withColumn("__part", part).join(start, "__part")
+            .withColumn(name, F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__start"))
+
+
 def tile(rank: str, total: str, k: int) -> Column:
     """Part 0..k-1 of an even split where the first parts take the remainder."""
     q = F.floor(F.col(total) / F.lit(k))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parcelgrid import fixed_values as V
 from parcelgrid.functions.common import col_or_null, filled, null_if_zero, round_even
 from parcelgrid.functions.scalar import clean_area, combine_city_locality, normalize_vat_price
-from parcelgrid.operators.ranking import attach, exact_percentiles, rank_within, tile
+from parcelgrid.operators.ranking import dense_positions, attach, exact_percentiles, rank_within, tile
 
 
 # --- Filters ---------------------------------------------------------------------------------
@@ -76,18 +76,9 @@ def latitude_strips(df: DataFrame, k: int = V.N_FOLDS, id_col: str = "doc_id", l
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """Alphabetical zero-based code of every distinct value.
-
-    Values are numbered inside buckets of equal first letters, so no single task
-    orders the whole vocabulary.
-    """
-    values = (df.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
-              .withColumn("p", F.substring("value", 1, 3)))
-    sizes = values.groupBy("p").agg(F.count("*").alias("c"))
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("p", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("p").orderBy("value")) - 1
-    return values.join(starts, "p").select("value", (F.col("start") + inside).cast("int").alias("code"))
+    """Alphabetical zero-based code of every distinct value; ranges of values are sorted apart."""
+    values = df.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
+    return dense_positions(values, [F.col("value")], "code").select("value", F.col("code").cast("int"))
 
 
 def with_codes(df: DataFrame, column: str, codes: DataFrame, out: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelgrid.sources.collections import union_collections
 from parcelgrid.functions import features as X
 from parcelgrid.functions.common import col_or_null, round_even
 from parcelgrid.functions.scalar import adjust_price, clean_item, condition_to_score, is_gozo, label_confidence
@@ -149,9 +150,19 @@ def request_features(requests: DataFrame, centroids: DataFrame, pois: DataFrame)
     return out.withColumns({c: F.lit(None).cast("double") for c in absent}) if absent else out
 
 
-def batch_valuation(requests: DataFrame, model: Trained, mape: float, centroids: DataFrame, pois: DataFrame,
+def batch_valuation(requests: DataFrame, models: dict[str, tuple[Trained, float]], centroids: DataFrame, pois: DataFrame,
                     columns: list[str] | None = None, version: str = "v1") -> DataFrame:
-    """Scores a table of requests: estimate, band, confidence and price per m²."""
+    """Scores a table of requests: estimate, band, confidence and price per m².
+
+    `models` has a model and its mean percentage error for each listing type; requests
+    of a type without a model are left out.
+    """
+    return union_collections([_valued(requests.filter(F.col("listing_type") == deal), model, mape, centroids, pois, columns, version)
+                              for deal, (model, mape) in models.items()])
+
+
+def _valued(requests: DataFrame, model: Trained, mape: float, centroids: DataFrame, pois: DataFrame,
+            columns: list[str] | None, version: str) -> DataFrame:
     columns = columns or feature_names(serve_consistent=True)
     ready = request_features(requests, centroids, pois)
     scored = predict_log(ready, columns, model.boosted, model.forest)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,29 +25,49 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT)
         F.monotonically_increasing_id().alias("row")))
 
 
-def corrupt_lines(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:
-    """(file, line) of every line that is not valid JSON, for a quarantine table."""
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = F.from_json("value", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), parsed.alias("d")) \
-        .filter(F.col(f"d.{CORRUPT}").isNotNull()).select("file", "line")
+def parsed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value, _ordinal, v): lines of text and their JSON, NULL where the syntax is broken or it is no object."""
+    v = F.try_parse_json("value")
+    return (spark.read.text(path).filter(F.trim("value") != "")
+            .select(F.col("_metadata.file_path").alias("file"), "value",
+                    F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                             F.monotonically_increasing_id().alias("row")).alias("_ordinal"),
+                    F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("v")))
+
+
+def lenient(v: str, path: str, kind: T.DataType) -> Column:
+    """A value by its path, cast where it can be and NULL where not."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[lenient(v, f"{path}.{f.name}", f.dataType).alias(f.name) for f in kind.fields])
+    return F.try_variant_get(F.col(v), path, kind.simpleString())
+
+
+def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) of every line that is not a JSON object, for a quarantine table."""
+    return parsed_lines(spark, path).filter("v IS NULL").select("file", F.col("value").alias("line"))
 
 
 def read_collection(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:
-    """Documents by `_id`: corrupt lines and documents without an id are left out, and
-    of several lines with one id the last wins."""
-    lines = read_lines(spark, path, schema)
+    """Documents by `_id`: lines of broken JSON and documents without an id are left out, and
+    of several lines with one id the last wins.
+
+    A value of an unexpected type is cast if it can be and NULL if not; its document stays.
+    Keys of `current` that the schema does not name are kept as text in the map `extra`.
+    """
+    known = F.array(*[F.lit(n) for n in schema["current"].dataType.fieldNames()]) if "current" in schema.fieldNames() else F.array()
+    rest = F.map_filter(F.try_variant_get("v", "$.current", "map<string,string>"), lambda k, _: ~F.array_contains(known, k))
+    usable = parsed_lines(spark, path).filter("v IS NOT NULL").select(
+        "_ordinal", *[lenient("v", f"$.{f.name}", f.dataType).alias(f.name) for f in schema.fields], rest.alias("extra")).filter(filled("_id"))
     body = [f for f in schema.fieldNames() if f != "_id"]
-    usable = lines.filter(F.col(CORRUPT).isNull() & filled("_id"))
-    return (usable.groupBy("_id").agg(F.max_by(F.struct(*body), F.col("_ordinal")).alias("d"))
+    return (usable.groupBy("_id").agg(F.max_by(F.struct(*body, "extra"), F.col("_ordinal")).alias("d"))
             .select(F.col("_id").alias("doc_id"), "d.*"))
 
 
 def flatten_documents(docs: DataFrame) -> DataFrame:
     """One flat row per document, without its history."""
     current = [f for f in docs.schema["current"].dataType.fieldNames() if f not in docs.columns]
-    return docs.select("doc_id", "source", "country", "first_seen", "last_seen",
+    extra = ["extra"] if "extra" in docs.columns else []
+    return docs.select("doc_id", "source", "country", "first_seen", "last_seen", *extra,
                        *[F.col(f"current.{f}").alias(f) for f in current])
 
 
