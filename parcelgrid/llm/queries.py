@@ -74,17 +74,17 @@ QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_tree_lm, op3
 
 ORACLES = {
     "op3_decontamination": r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), x -> x <> '') AS w
+WITH d AS (SELECT doc_id, regexp_extract_all(lower_ascii, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
            FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM documents)),
-b AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), x -> x <> '') AS w
+b AS (SELECT item_id, regexp_extract_all(lower_ascii, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
       FROM (SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
             FROM benchmark WHERE item_id IS NOT NULL)),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS t
         FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
-at AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
+spots AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
        FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
-hits AS (SELECT doc_id, item_id, at.n, i FROM at JOIN win ON at.t = win.t AND at.n = win.n),
+hits AS (SELECT doc_id, item_id, spots.n, i FROM spots JOIN win ON spots.t = win.t AND spots.n = win.n),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
           FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
