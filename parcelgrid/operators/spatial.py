@@ -315,6 +315,10 @@ def similar_rentals(sales: DataFrame, rentals: DataFrame, max_km: float = 5.0, k
     pool = (usable.select(F.col(rental_id).alias("r_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"),
                           known("rooms").alias("r_rooms"), known("area_sqm").alias("r_area"),
                           known("condition").alias("r_cond"), F.col("price_eur").alias("r_price"))
+            # Rentals alike in all that scores rank by id, so only the k lowest ids can be chosen.
+            .withColumn("r", F.row_number().over(
+                Window.partitionBy("r_lat", "r_lon", "r_rooms", "r_area", "r_cond").orderBy("r_id")))
+            .filter(F.col("r") <= k).drop("r")
             .withColumns({**g.cell("r_lat", "r_lon", "p_"), "bucket": _area_bucket(F.col("r_area"))}))
     kinds = ["p_ci", "p_cj", "r_rooms", "bucket", "r_cond"]
     cells = pool.groupBy(*kinds).agg(F.count("*").alias("n"), F.min("r_area").alias("a_min"),

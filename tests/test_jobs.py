@@ -1,5 +1,6 @@
 """Storage, streaming and the registered queries."""
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,48 @@ def test_late_rows_are_kept_apart(spark):
     assert spark.read.parquet(f"{root}/late").filter(F.col("price_eur") == 99.0).count() == 1
 
 
+def test_a_batch_that_runs_again_gives_the_same_events(spark):
+    root = fresh_path(spark, "again")
+    schema = "doc_id string, source string, country string, scraped_at timestamp, price_eur double"
+
+    def run():
+        S.stream_upsert(spark.readStream.schema(schema).parquet(f"{root}/in"), root, f"{root}/checkpoint").awaitTermination()
+
+    def outcome():
+        events = spark.read.parquet(f"{root}/events").collect()
+        return sorted((r["batch"], r["doc_id"], r["event"]) for r in events), sinks.read_current(spark, f"{root}/state").first()["price_eur"]
+
+    for day, price in ((5, 10.0), (6, 11.0)):
+        spark.createDataFrame([("a", "s", "MT", dt.datetime(2026, 1, day), price)], schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        run()
+    want = ([(0, "a", "created"), (1, "a", "price_change")], 11.0)
+    assert outcome() == want
+    for name in ("1", ".1.crc"):
+        os.remove(f"{root}/checkpoint/commits/{name}")
+    run()
+    assert outcome() == want
+
+
+def test_nested_blocks_belong_to_the_description(spark):
+    from parcelgrid.operators import extract as E
+    page = "<h1>t</h1><DIV class='moreInfo'>a<div>b<div>c</div></div> d <div>e</div></DIV><div>f</div>"
+    rows = [(1, page), (2, "<h1>t</h1><div class='moreInfo'>open <div>x</div>"), (3, "<h1>t</h1>"), (4, None),
+            (5, "<div class='moreInfo'>" + "<div>n</div>" * 50_000 + "</div><div>after</div>")]
+    got = {r["page_id"]: r["description"] for r in E.extract_detail_fields(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert (got[1], got[2], got[3], got[4]) == ("a b c d e", "open x", None, None)
+    assert got[5].split() == ["n"] * 50_000
+
+
+def test_rentals_on_one_point_are_reduced_before_the_search(spark):
+    from parcelgrid.operators.spatial import similar_rentals
+    schema = "doc_id string, lat double, lon double, rooms double, area_sqm double, condition double, price_eur double"
+    rentals = [(f"r{i:05d}", 35.9, 14.5, 2.0, 80.0, 3.0, 500.0 + i) for i in range(5000)] + [("z", 35.91, 14.5, 2.0, 80.0, 3.0, 1.0)]
+    sales = [("s1", 35.9, 14.5, 2.0, 80.0, 3.0, 1.0), ("s2", 35.9101, 14.5, 2.0, 81.0, 3.0, 1.0)]
+    got = similar_rentals(spark.createDataFrame(sales, schema), spark.createDataFrame(rentals, schema)).collect()
+    by_sale = {s: [r["rental_id"] for r in sorted((r for r in got if r["sale_id"] == s), key=lambda r: r["rank"])] for s in ("s1", "s2")}
+    assert by_sale == {"s1": ["r00000", "r00001", "r00002"], "s2": ["z", "r00000", "r00001"]}
+
+
 def test_documents_of_mixed_types_all_survive(spark, tmp_path):
     import json
 
