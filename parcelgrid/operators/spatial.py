@@ -212,8 +212,9 @@ def _area_bucket(area: Column) -> Column:
 
 
 def nearest_within(probes: DataFrame, listings: DataFrame, probe_id: str, listing_id: str, radius_km: float,
-                   k: int, match: Sequence[str], tolerance: float, resolution: int | None = None) -> DataFrame:
-    """The k nearest listings within the radius and area tolerance of each probe.
+                   k: int, match: Sequence[str], tolerance: float, resolution: int | None = None,
+                   carry: Sequence[str] = ()) -> DataFrame:
+    """The k nearest listings within the radius and area tolerance of each probe, with their columns `carry`.
 
     1. Listings at one position with the same type and area are interchangeable, so
        only the k lowest ids of each such set can ever be chosen.
@@ -223,12 +224,15 @@ def nearest_within(probes: DataFrame, listings: DataFrame, probe_id: str, listin
     A probe without an area accepts every area.
     """
     match = list(match)
+    facts = {**{c: F.col(f"__{c}") for c in carry}, **{c: F.col(c) for c in match},
+             "lat": F.col("l_lat"), "lon": F.col("l_lon"), "area_sqm": F.col("l_area")}
+    own = [F.col(c).alias(f"__{c}") for c in carry if c not in (*match, "lat", "lon", "area_sqm")]
     usable = listings.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("area_sqm").isNotNull())
     if resolution is None:
         resolution = choose_search_resolution(usable, radius_km, "haversine")
     g = Grid(radius_km, resolution, "haversine")
     same = [*match, "lat", "lon", "area_sqm"]
-    pool = (usable.select(*match, F.col("lat"), F.col("lon"), "area_sqm", F.col(listing_id).alias("l_id"))
+    pool = (usable.select(*match, F.col("lat"), F.col("lon"), "area_sqm", F.col(listing_id).alias("l_id"), *own)
             .withColumn("r", F.row_number().over(Window.partitionBy(*same).orderBy("l_id")))
             .filter(F.col("r") <= k).drop("r")
             .withColumnsRenamed({"lat": "l_lat", "lon": "l_lon", "area_sqm": "l_area"})
@@ -260,38 +264,43 @@ def nearest_within(probes: DataFrame, listings: DataFrame, probe_id: str, listin
              .filter(~has_area | F.col("l_area").between(low, high))
              .withColumn("distance_m", geodesic_m("lat", "lon", "l_lat", "l_lon"))
              .filter(F.col("distance_m") <= radius_km * 1000.0)
-             .select("q_id", "l_id", "distance_m"))
+             .select("q_id", "l_id", "distance_m", *[facts[c].alias(c) for c in carry]))
     return (top_k_per_probe(found, "q_id", ["distance_m", "l_id"], k)
             .withColumnsRenamed({"q_id": probe_id, "l_id": listing_id}))
 
 
 def comparables(requests: DataFrame, listings: DataFrame, km: float = 3.0, tol: float = 0.4, k: int = 8,
                 request_id: str = "request_id", listing_id: str = "doc_id",
-                resolution: int | None = None) -> DataFrame:
-    """Nearest priced listings of the same type and deal, area within the tolerance."""
+                resolution: int | None = None, facts: Sequence[str] = ()) -> DataFrame:
+    """Nearest priced listings of the same type and deal, area within the tolerance.
+
+    Further columns of the listings that `facts` names (source, lat, lon, url, ..) follow.
+    """
     priced = listings.filter(F.col("price_eur").isNotNull())
+    shown = ["locality", "property_type", "area_sqm", "price_eur"]
     near = nearest_within(requests, priced, request_id, listing_id, km, k,
-                          ("property_type", "listing_type"), tol, resolution)
-    facts = priced.select(listing_id, "locality", "property_type", "area_sqm", "price_eur")
-    return near.join(facts, listing_id).select(
+                          ("property_type", "listing_type"), tol, resolution, [*shown, *facts])
+    return near.select(
         request_id, "rank", listing_id, "locality", "property_type", "area_sqm", "price_eur",
         F.when(F.col("area_sqm") > 0, round_even(F.col("price_eur") / F.col("area_sqm"), 2)).alias("price_per_sqm"),
-        round_even("distance_m", 0).alias("distance_m"))
+        round_even("distance_m", 0).alias("distance_m"), *facts)
 
 
 def comparables_api(requests: DataFrame, listings: DataFrame, km: float = 2.0, tol: float = 0.3, k: int = 10,
                     request_id: str = "request_id", listing_id: str = "id",
-                    resolution: int | None = None) -> DataFrame:
-    """Same country and type, adjusted price known, nearest ten within two kilometres."""
+                    resolution: int | None = None, facts: Sequence[str] = ()) -> DataFrame:
+    """Same country and type, adjusted price known, nearest ten within two kilometres.
+
+    Further columns of the listings that `facts` names (address, date, source, ..) follow.
+    """
     priced = listings.filter(F.col("price_adjusted_eur").isNotNull())
     near = nearest_within(requests, priced, request_id, listing_id, km, k,
-                          ("country", "property_type"), tol, resolution)
-    facts = priced.select(listing_id, "area_sqm", "price_adjusted_eur")
+                          ("country", "property_type"), tol, resolution, ["area_sqm", "price_adjusted_eur", *facts])
     price = F.col("price_adjusted_eur")
     per_sqm = F.when((F.col("area_sqm") != 0) & (price != 0), price / F.col("area_sqm")).otherwise(0.0)
-    return near.join(facts, listing_id).select(
+    return near.select(
         request_id, "rank", listing_id, "area_sqm", price.alias("price_eur"),
-        round_even(per_sqm, 2).alias("price_per_sqm"), round_even("distance_m", 1).alias("distance_m"))
+        round_even(per_sqm, 2).alias("price_per_sqm"), round_even("distance_m", 1).alias("distance_m"), *facts)
 
 
 # --- Scored nearest rentals ------------------------------------------------------------------

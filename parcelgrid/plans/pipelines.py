@@ -50,12 +50,17 @@ def quality_pipeline(docs: DataFrame, by: Sequence[str] = ("source", "locality")
     return marked, export_rows(marked)
 
 
-def reparse_pages(pages: DataFrame, state: DataFrame | None) -> tuple[H.Upsert, DataFrame]:
-    """Parse stored pages again and upsert them; pages without a title go to quarantine."""
+def reparse_pages(pages: DataFrame, state: DataFrame | None) -> tuple[H.Upsert, DataFrame, DataFrame]:
+    """Parse stored pages again and upsert them; pages without a title go to quarantine.
+
+    Returns the upsert, the quarantine and one row of items_new, items_updated, parse_errors.
+    """
     records = page_records(pages)
     good = records.filter(F.col("title").isNotNull()).drop("page_id")
     bad = records.filter(F.col("title").isNull()).select("page_id", F.lit("empty parse result").alias("error"))
-    return H.upsert_listings(state, good), bad
+    done = H.upsert_listings(state, good)
+    counts = done.counts.unionByName(bad.agg(F.count("*").alias("parse_errors")), allowMissingColumns=True)
+    return done, bad, counts.agg(*[F.max(c).alias(c) for c in counts.columns])
 
 
 # --- Yields ---------------------------------------------------------------------------------------------

@@ -49,6 +49,41 @@ def test_quota_against_brute_force(spark):
     assert got == want
 
 
+def test_quota_state_is_carried_given_back_and_expires(spark):
+    path, out = fresh_path(spark, "asks"), fresh_path(spark, "quota")
+    schema = "event_id long, identifier string, ts timestamp, release boolean"
+    rows = [(i, "ab"[i % 2], dt.datetime(2026, 1, 1) + dt.timedelta(minutes=7 * i), i % 9 == 4) for i in range(500)]
+    rows[0], rows[490] = (0, "c", rows[0][2], False), (490, "c", rows[490][2], None)
+    for n in range(0, 500, 125):
+        spark.createDataFrame(rows[n:n + 125], schema).coalesce(1).write.mode("append").parquet(path)
+    S.run_available(S.quota_windows(S.read_event_stream(spark, path, schema), watermark="1 minute"), f"{out}/d", f"{out}/c").awaitTermination()
+    got = {r["event_id"]: r["allowed"] for r in spark.read.parquet(f"{out}/d").collect()}
+    state, want = {}, {}
+    for i, who, t, back in rows:
+        h, hn, d, dn = state.get(who, (t, 0, t, 0))
+        if back:
+            state[who] = h, max(0, hn - 1), d, max(0, dn - 1)
+            continue
+        h, hn = (t, 1) if hn == 0 or (t - h).total_seconds() >= 3600 else (h, hn + 1)
+        d, dn = (t, 1) if dn == 0 or (t - d).total_seconds() >= 86400 else (d, dn + 1)
+        state[who], want[i] = (h, hn, d, dn), hn <= 5 and dn <= 20
+    assert got == want and False in want.values()
+
+
+def test_pages_are_parsed_again_with_all_fields_and_errors_counted(spark):
+    from parcelgrid.plans.pipelines import reparse_pages
+    page = ("<script type='application/ld+json'>{\"@type\":\"Offer\",\"itemOffered\":{\"image\":[\"u1\",\"u2\"]}}</script><h1>t</h1>"
+            "<div class='adParams'></div><div class='carExtri'><div>Асансьор</div><div>Гараж</div></div><div class='moreInfo'>d</div>")
+    at = dt.datetime(2026, 1, 1)
+    pages = spark.createDataFrame([(1, "x1", page, at), (2, "x2", "<p>no title</p>", at)], "page_id long, listing_id string, html string, scraped_at timestamp")
+    done, bad, counts = reparse_pages(pages, None)
+    row = done.state.first()
+    assert (row["doc_id"], row["url"], row["price_type"], row["image_urls"]) == ("bg_board:x1", "https://example.org/obiava-x1", "asking", ["u1", "u2"])
+    assert [row[n] for n in ("has_elevator", "has_parking", "has_garage", "has_balcony", "has_furnishing", "has_garden")] == [1, 0, 1, 0, 0, 0]
+    assert [r["page_id"] for r in bad.collect()] == [2]
+    assert counts.first().asDict() == {"items_new": 1, "items_updated": 0, "parse_errors": 1}
+
+
 def test_entry_and_registry(spark):
     rows = entry.entry(spark).collect()
     assert rows and {"flag", "n"} == set(rows[0].asDict())
