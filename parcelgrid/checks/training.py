@@ -94,10 +94,11 @@ FROM pred GROUP BY property_type""")(lambda t: T.regression_metrics(predictions(
 query("accuracy_buckets", ", " + PRED + " SELECT " + ", ".join(
     r(f"avg(CASE WHEN abs((y - yhat) / y) * 100 <= {k} THEN 1.0::DOUBLE ELSE 0 END) * 100", 1) + f" AS within_{k}pct" for k in (5, 10, 15, 20, 25)) + " FROM pred")(
     lambda t: T.accuracy_buckets(predictions(t)))
+COVERED = ("price_eur", "area_sqm", "bedrooms", "lat", "lon", "locality", "property_type", "listing_type", "title", "description", "first_seen", "last_seen", "is_active")
 _COV = " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, {r(f'count({c}) * 100.0::DOUBLE / count(*)', 1)} AS pct FROM listings"
-                          for c in ("lat", "area_sqm", "bedrooms", "price_eur"))
+                          for c in COVERED)
 query("feature_coverage", _COV)(
-    lambda t: T.feature_coverage(t.listings, ["lat", "area_sqm", "bedrooms", "price_eur"]))
+    lambda t: T.feature_coverage(t.listings, list(COVERED)))
 query("price_quantiles", f"""SELECT min(price_eur) AS min, {r('quantile_cont(price_eur, 0.05)', 4)} AS p5, median(price_eur) AS median,
   {r('quantile_cont(price_eur, 0.95)', 4)} AS p95, max(price_eur) AS max, count(price_eur) AS n FROM listings""")(
     lambda t: T.price_quantiles(t.listings).withColumns({"p5": round_even("p5", 4), "p95": round_even("p95", 4)}))

@@ -82,19 +82,11 @@ def number_at(text, pattern: str, group: int = 1) -> Column:
     return null_if_empty(F.regexp_extract(col(text), pattern, group))
 
 
-def has(df: DataFrame, name: str) -> bool:
-    return name in df.columns
-
-
 def col_or_null(df: DataFrame, name: str, dtype: str) -> Column:
     """The column, or a typed NULL where a source does not carry it."""
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
 
 
-def with_all(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    return df.withColumns(dict(columns))
-
-
 def days_between(later, earlier) -> Column:
     """Whole days, rounded down, between two timestamps."""
     seconds = (F.unix_timestamp(col(later).cast("timestamp"))

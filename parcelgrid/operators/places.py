@@ -8,7 +8,6 @@ from collections.abc import Iterable, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parcelgrid import fixed_values as V
 from parcelgrid.functions.common import (
@@ -75,39 +74,42 @@ def base_name(key) -> Column:
     return F.when(key.startswith(V.GOZO_PREFIX), F.substr(key, F.lit(len(V.GOZO_PREFIX) + 1))).otherwise(key)
 
 
-@F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("norm", T.StringType())]))
-def closest_name(word: pd.Series, options: pd.Series) -> pd.DataFrame:
-    """Best difflib ratio of a name over a short list of names."""
-    scores, names = [], []
-    for w, opts in zip(word, options):
-        matcher, best = difflib.SequenceMatcher(), (0.0, None)
-        matcher.set_seq2(w)
-        for o in opts:
-            matcher.set_seq1(o)
-            if (matcher.real_quick_ratio() >= best[0] and matcher.quick_ratio() >= best[0]):
-                best = max(best, (matcher.ratio(), o), key=lambda t: (t[0], t[1] or ""))
-        scores.append(best[0])
-        names.append(best[1])
-    return pd.DataFrame({"score": scores, "norm": names})
+@F.pandas_udf("double")
+def name_ratio(word: pd.Series, option: pd.Series) -> pd.Series:
+    """The difflib ratio of two names."""
+    scores, matcher, last = [], difflib.SequenceMatcher(), None
+    for w, o in zip(word, option):
+        if w != last:
+            matcher.set_seq2(w)
+            last = w
+        matcher.set_seq1(o)
+        scores.append(matcher.ratio())
+    return pd.Series(scores, dtype="float64")
+
+
+def rare_letters(name, ratio: float) -> Column:
+    """The first letters of a name, numbered by repetition and most repeated first: names that share at least `ratio`
+    of their letters with each other share one of these."""
+    chars, n = F.split(name, ""), F.length(name)
+    numbered = F.transform(chars, lambda c, i: F.struct((-F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c))).alias("nth"), c.alias("letter")))
+    return F.slice(F.array_sort(numbered), F.lit(1), (n - F.ceil(n * F.lit(ratio) - 1e-9) + 1).cast("int"))
 
 
 def fuzzy_names(names: DataFrame, norm_keys: DataFrame, cutoff: float = V.FUZZY_CUTOFF) -> DataFrame:
     """(island, norm) to the closest known norm at or above the cutoff.
 
-    A ratio of `cutoff` bounds how far two lengths can differ, so names meet only the
-    known names of fitting length, through an ordinary join.
+    A ratio of `cutoff` needs cutoff / (2 - cutoff) of either name's letters in common, which bounds how far two lengths
+    can differ and makes the two share one of their first letters in a common order.  Only such pairs, one row each,
+    reach the ratio itself.
     """
-    by_length = (norm_keys.withColumn("len", F.length("norm_key"))
-                 .groupBy("island", "len").agg(F.collect_set("norm_key").alias("options")))
     ratio = cutoff / (2 - cutoff)
-    n = F.length("norm")
-    asked = names.withColumn("len", F.explode(F.sequence(
-        F.ceil(n * F.lit(ratio) - 1e-9).cast("int"), F.floor(n / F.lit(ratio) + 1e-9).cast("int"))))
-    scored = (asked.join(by_length, ["island", "len"])
-              .withColumn("m", closest_name("norm", "options"))
-              .filter(F.col("m.score") >= cutoff))
-    return scored.groupBy("island", "norm").agg(
-        F.max(F.struct("m.score", "m.norm"))["norm"].alias("norm_key"))
+    asked = names.select("island", "norm", F.explode(rare_letters("norm", ratio)).alias("first"))
+    known = norm_keys.select("island", "norm_key", F.explode(rare_letters("norm_key", ratio)).alias("first"))
+    shorter, longer = F.least(F.length("norm"), F.length("norm_key")), F.greatest(F.length("norm"), F.length("norm_key"))
+    pairs = (asked.join(known, ["island", "first"]).filter(shorter >= longer * F.lit(ratio) - 1e-9)
+             .select("island", "norm", "norm_key").distinct())
+    scored = pairs.withColumn("score", name_ratio("norm", "norm_key")).filter(F.col("score") >= cutoff)
+    return scored.groupBy("island", "norm").agg(F.max(F.struct("score", "norm_key"))["norm_key"].alias("norm_key"))
 
 
 def nearest_centroid(df: DataFrame, centroids: DataFrame, out: str = "nearest") -> DataFrame:

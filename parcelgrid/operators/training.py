@@ -162,6 +162,11 @@ SQL_TRAINING_COLUMNS = (
     "bathrooms", "year_built", "year_renovated", "condition", "has_parking", "has_garden", "has_pool",
     "has_elevator", "has_balcony", "distance_coast_m", "distance_center_m", "price_adjusted_eur",
     "price_type", "listing_date", "transaction_date")
+#: Types of columns that a source may lack; all others are numbers.
+SQL_TRAINING_TYPES = {
+    "id": "long", "property_type": "string", "condition": "string", "price_type": "string", "listing_date": "timestamp",
+    "transaction_date": "timestamp", "has_parking": "boolean", "has_garden": "boolean", "has_pool": "boolean",
+    "has_elevator": "boolean", "has_balcony": "boolean"}
 
 
 def feature_store_join(properties: DataFrame, countries: DataFrame, regions: DataFrame) -> DataFrame:
@@ -176,7 +181,7 @@ def read_sql_training(properties: DataFrame, countries: DataFrame, regions: Data
     valid = properties.filter((F.col("price_adjusted_eur") > 0) & F.col("lat").isNotNull()
                               & F.col("lon").isNotNull() & (F.col("area_sqm") > 0))
     joined = feature_store_join(valid, countries.filter(F.col("code") == code.upper()), regions)
-    return joined.select(*[col_or_null(joined, c, "string").alias(c) for c in SQL_TRAINING_COLUMNS], "region_name")
+    return joined.select(*[col_or_null(joined, c, SQL_TRAINING_TYPES.get(c, "double")).alias(c) for c in SQL_TRAINING_COLUMNS], "region_name")
 
 
 ARTIFACT_KINDS = ("boosted", "forest", "encoders", "meta")
