@@ -77,7 +77,7 @@ def located_pois(t):
 
 
 def populations(t):
-    return t.nation.select(F.lit("MT").alias("country"), F.col("n_name").alias("city"), (F.col("n_nationkey") * 1000 + 500).cast("long").alias("population"))
+    return t.nation.select(F.when(F.col("n_nationkey") % 2 == 0, "BG").otherwise("MT").alias("country"), F.col("n_name").alias("city"), (F.col("n_nationkey") * 1000 + 500).cast("long").alias("population"))
 
 
 def run_features(t):
@@ -85,12 +85,12 @@ def run_features(t):
 
 
 def matrix(t, deal):
-    return PL.matrix_for(t.listings.filter("country = 'MT'"), deal, AS_OF, located_pois(t), populations(t), run_features(t))
+    return PL.matrix_for(t.listings, deal, AS_OF, located_pois(t), populations(t), run_features(t))
 
 
 query("build_features")(lambda t: matrix(t, "sale"))
 def trained(t, deal="rent"):
-    return MO.train_cv(materialize(matrix(t, deal)), COLUMNS, k=3, **SMALL)
+    return MO.train_cv(materialize(matrix(t, deal)), COLUMNS, **SMALL)
 
 
 query("train_cv")(lambda t: trained(t).metrics)
@@ -112,14 +112,14 @@ def _registry(t):
     root = fresh_path(t.spark, "models")
     for version, k in (("v1", 2), ("v2", 3)):
         model = MO.train_cv(materialize(matrix(t, "rent")), COLUMNS, k=k, **SMALL)
-        MO.register_model(t.spark, root, "mt_apartment_rent", version, model, mean_error(model), None)
+        MO.register_model(t.spark, root, "apartment_rent", version, model, mean_error(model), None)
     rows = t.spark.read.schema(MO.REGISTRY).parquet(f"{root}/_registry")
-    return MO.model_registry(rows, "mt_apartment_rent").select("version", "kind", "mape")
+    return MO.model_registry(rows, "apartment_rent").select("version", "kind", "mape")
 
 
 query("model_registry")(_registry)
 query("rental_yields")(
-    lambda t: PL.rental_yields(t.listings.filter("country = 'MT'"), AS_OF, located_pois(t), populations(t), run_features(t), columns=COLUMNS, k=2, **SMALL)
+    lambda t: PL.rental_yields(t.listings, AS_OF, located_pois(t), populations(t), run_features(t), columns=COLUMNS, k=2, **SMALL)
     .select("doc_id", "locality", "price_eur", "predicted_rent", "gross_yield"))
 
 
