@@ -8,6 +8,7 @@ from collections.abc import Iterable, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelgrid import fixed_values as V
 from parcelgrid.functions.common import (
@@ -74,7 +75,7 @@ def base_name(key) -> Column:
     return F.when(key.startswith(V.GOZO_PREFIX), F.substr(key, F.lit(len(V.GOZO_PREFIX) + 1))).otherwise(key)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_ratio(word: pd.Series, option: pd.Series) -> pd.Series:
     """The difflib ratio of two names."""
     scores, matcher, last = [], difflib.SequenceMatcher(), None
