@@ -17,15 +17,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; unlinked rows stay."""
-    classes = parity_join.join(docs).select("doc_id", "component_id").filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of linked rows the one with the smallest doc_id (null comes last); unlinked rows stay.
+
+    Rows are told apart by a key of their own, so equal and null ids neither hold texts together nor keep them out.
+    """
+    rows = save(docs.select("*", F.monotonically_increasing_id().alias("row")), "pipeline_rows")
+    groups = parity_join.join(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("least"))
+    linked = save(groups.join(groups.filter("row <> least").select("least").distinct(), "least", "left_semi")
+                  .join(rows.select("row", "doc_id"), "row"), "pipeline_linked")
+    first = linked.groupBy("least").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("kept")).select("kept.row")
+    return rows.join(linked.join(first, "row", "left_anti").select("row"), "row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of the benchmark."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti").select(*COLUMNS)
+    """Rows whose text has no window of the benchmark, whatever their doc_id."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,14 +71,9 @@ def original_spans(text: bytes, hit: list[tuple[int, int]]) -> list[tuple[int, i
     return [(chars(places[s][0]), chars(places[e - 1][1])) for s, e in hit]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = 200_000) -> DataFrame:
-    """A row for each document: words, hit words, items with occurring windows, and hit spans of the original text.
-
-    Null or wordless texts have no words and no hits; items without words or without id are left out; items and
-    documents that repeat are treated alike.  Windows of the benchmark are distinct rows grouped by Spark; automata hold at
-    most `block` windows each, so a larger benchmark is scanned for in several automata, one in memory at a time.
-    """
-    spark = docs.sparkSession
+def spread(benchmark: DataFrame, size: int, block: int) -> list:
+    """Broadcasts of the distinct windows of a benchmark with their items, at most `block` windows each."""
+    spark = benchmark.sparkSession
 
     def cut(batches):
         for pdf in batches:
@@ -97,12 +92,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
             shared.append(spark.sparkContext.broadcast(part))
             part = []
     shared.append(spark.sparkContext.broadcast(part))
+    return shared
+
+
+def scanned(texts: list[bytes], shared: list, only):
+    """`scan` of each text by `only`, or by the automata of `shared` where there are several."""
+    return [scan(t, [only]) for t in texts] if only else _joined(texts, (automaton(s.value) for s in shared))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = 200_000) -> DataFrame:
+    """A row for each document: words, hit words, items with occurring windows, and hit spans of the original text.
+
+    Null or wordless texts have no words and no hits; items without words or without id are left out; items and
+    documents that repeat are treated alike.  Windows of the benchmark are distinct rows grouped by Spark; automata hold at
+    most `block` windows each, so a larger benchmark is scanned for in several automata, one in memory at a time.
+    """
+    shared = spread(benchmark, size, block)
 
     def look(batches):
         only = automaton(shared[0].value) if len(shared) == 1 else None
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            results = [scan(t, [only]) for t in texts] if only else _joined(texts, (automaton(s.value) for s in shared))
+            results = scanned(texts, shared, only)
             cols = [batch.column("doc_id"), *([] for _ in range(7))]
             for t, (n, hit, ids) in zip(texts, results):
                 ids = sorted(ids)
@@ -116,6 +127,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
     return docs.select(F.col("doc_id").cast("long"), bytes_of().alias("text")).mapInArrow(look, SCHEMA)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = 200_000) -> DataFrame:
+    """Rows of `docs` with all their columns whose text has no window of the benchmark; each row is judged by its own text."""
+    shared = spread(benchmark, size, block)
+
+    @F.pandas_udf("boolean")
+    def free(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only = automaton(shared[0].value) if len(shared) == 1 else None
+        for text in parts:
+            yield pd.Series([not hit for _, hit, _ in scanned([bytes(t) for t in text], shared, only)], dtype=bool)
+
+    return docs.filter(free(bytes_of()))
+
+
 def _joined(texts, automata):
     """As `scan` of each text, with one automaton in memory at a time."""
     total = [[0, [], set()] for _ in texts]

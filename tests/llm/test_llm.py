@@ -457,3 +457,23 @@ def test_pipeline(spark):
         assert tuple(real.columns) == cp.COLUMNS
     assert 0 < real.count() <= 200
     assert {r["doc_id"] for r in cp.STAGES[-1][1](spark, real, SF).select("doc_id").collect()} == {r["doc_id"] for r in real.collect()}
+
+
+def test_pipeline_decides_by_row(spark, repeats, tmp_path):
+    import corpus_pipeline as cp
+    rows = [(i, r["doc_id"], r["text"]) for i, r in enumerate(repeats.collect())]
+    docs = repeats.select(*cp.COLUMNS)
+    group, want = linked_by_brute_force({i: t or "" for i, _, t in rows}), {}
+    for i, d, t in rows:
+        c = group[i][1]
+        want[c] = min(want.get(c, (True, 0, "")), (d is None, d or 0, t or ""))
+    kept = Counter((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in cp.drop_near_duplicates(spark, docs, SF).collect())
+    assert kept == Counter(want.values())
+    spark.createDataFrame([(1, "other text under one id"), (2, BASE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = docs.union(frame(spark, [(None, "clean text without an id", "en", "a")], extra=False))
+    windows = [NON.findall(lower(BASE))[k:k + 10] for k in range(171)] + [["other", "text", "under", "one", "id"]]
+    hit = lambda t: any(" " + " ".join(w) + " " in " " + " ".join(NON.findall(lower(t or ""))) + " " for w in windows)
+    texts = [(d, t) for _, d, t in rows] + [(None, "clean text without an id")]
+    got = Counter((r["doc_id"], r["text"]) for r in cp.drop_contaminated(spark, more, str(tmp_path)).collect())
+    assert got == Counter(x for x in texts if not hit(x[1])) and (3, BASE.replace("word3 ", "other ")) not in got
+    assert got[None, None] == 1 and got[None, "clean text without an id"] == 1 and (None, BASE) not in got
