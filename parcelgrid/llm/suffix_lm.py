@@ -1,9 +1,13 @@
 """A probabilistic suffix tree over words.
 
-Contexts grow one word at a time from those whose share of the training tokens is at least `p_min`, so a level has at most
-1 / p_min of them whatever the corpus.  A context is kept if some next symbol's probability differs from that under its
-longest proper suffix by a factor of `ratio` or more.  Next-symbol distributions are smoothed towards that suffix, down to
-the add-half unigram model at the root; a token is scored in the state of the longest kept suffix of what precedes it.
+Contexts grow one word at a time from word sequences that occur at least `least` times, an absolute count, so the tree grows
+with the corpus.  It is counted and kept in Spark.  A context is kept if some next symbol's probability differs from that
+under its longest proper suffix by a factor of `ratio` or more, or if it is a suffix of a kept one.  Next-symbol
+distributions are smoothed towards that suffix, down to the add-half unigram model at the root.
+
+A token's log probability is a sum: its root's, log of what each kept context leaves to its parent, and, where the symbol is
+explicit in a context, log p(context) - log p(suffix) - log left.  So each sequence of words has one value, whatever
+surrounds it: those of the frequent head are broadcast, all others joined.
 """
 from __future__ import annotations
 
@@ -23,11 +27,12 @@ STEP = U(0x9E3779B97F4A7C15)
 
 @dataclass
 class Tree:
-    """Sorted hashes of kept contexts by length, what is left to the parent in each, and explicit next symbols."""
+    """The frequent head: sorted hashes of kept contexts by length, what is left to the parent in each, and explicit next symbols."""
     head: np.ndarray          # frequent words, sorted
     head_log: np.ndarray      # their log10 root probability
     contexts: list            # by length from 1: (context hashes sorted, share left to the parent)
-    nexts: list               # by length from 1: (hash of context and symbol sorted, explicit share)
+    nexts: list               # by length from 1: (hash of context and symbol sorted, explicit share, gain over the suffix)
+    rest: DataFrame           # (key, value): log10 values of all other sequences
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,139 +109,163 @@ def counted(texts: DataFrame, pick, columns: list[str]) -> DataFrame:
     return texts.mapInArrow(run, schema).groupBy(*columns).agg(F.sum("n").alias("n"))
 
 
-def grown(texts: DataFrame, tree_contexts: np.ndarray, head: np.ndarray, depth: int, least: float, buckets: int = 18) -> dict[str, np.ndarray]:
-    """Frequent (context of `depth` words, next symbol) with the context's suffix (one word fewer) for the divergence test.
+def filter_of(keys: DataFrame, bits: int = 27) -> np.ndarray:
+    """A filter of 2**bits bits over the column `key`; what passes it wrongly only adds rows that are dropped later."""
+    slot = F.shiftrightunsigned("key", 64 - bits) + 1
+    out = np.zeros(1 << bits - 3, dtype=np.uint8)
+    for r in (keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).toLocalIterator()):  # at most 2**bits / 32768 rows
+        out[(r["b"] - 1) * 4096:r["b"] * 4096] = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
+    return out
 
-    A first pass counts pairs into a fixed number of buckets; only pairs of buckets that reach `least` are counted exactly.
-    """
-    spark = texts.sparkSession
-    known = spark.sparkContext.broadcast((tree_contexts, head))
 
-    def both(h, first):
-        contexts, common = known.value
-        c = chains(h, first, depth)
-        suffix = c[depth - 2] if depth > 1 else np.zeros(len(h), U)
-        ok = (c[depth - 1] != 0) & member(common, h)[1] & member(contexts, c[depth - 1])[1]
-        return c[depth - 1][ok], h[ok], suffix[ok]
+def passing(marks: np.ndarray, x: np.ndarray) -> np.ndarray:
+    s = (x >> U(64 - (len(marks) * 8).bit_length() + 1)).astype(np.int64)
+    return (marks[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
 
-    def rough(batches):
-        total = np.zeros(1 << buckets, dtype=np.int64)
+
+def keyed(pairs: DataFrame) -> DataFrame:
+    """Hash of context and word (`key`), and of suffix and word (`under`)."""
+    def run(batches):
         for batch in batches:
-            for _, _, part, bounds in blocks(*binary(batch.column("text"))):
-                c, w, _ = both(*tokens(part, bounds))
-                total += np.bincount((extended(c, w) >> U(64 - buckets)).astype(np.int64), minlength=1 << buckets)
-        used = np.flatnonzero(total)
-        for cut in range(0, len(used), 50_000):
-            u = used[cut:cut + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(total[u])], names=["b", "n"])
-
-    heavy = np.zeros(1 << buckets, dtype=bool)
-    for r in texts.mapInArrow(rough, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toLocalIterator():
-        heavy[r["b"]] = True
-    shared = spark.sparkContext.broadcast(heavy)
+            c, w, s = (batch.column(x).to_numpy().view(U) for x in ("context", "word", "suffix"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(extended(c, w).view(np.int64)), pa.array(extended(s, w).view(np.int64))],
+                                             names=[*batch.schema.names, "key", "under"])
+
+    return pairs.mapInArrow(run, "context long, word long, suffix long, n long, key long, under long")
+
+
+def grown(texts: DataFrame, sequences: DataFrame, depth: int, least: float) -> DataFrame:
+    """(context of `depth` words, next symbol) of at least `least` occurrences, with the context's suffix (one word fewer).
+
+    Both its first and its last `depth` words must be among `sequences`; a filter of fixed size sorts out most others.
+    """
+    known = texts.sparkSession.sparkContext.broadcast(filter_of(sequences))
 
     def pick(h, first):
-        c, w, s = both(h, first)
-        keep = shared.value[(extended(c, w) >> U(64 - buckets)).astype(np.int64)]
-        return c[keep], w[keep], s[keep]
+        c = chains(h, first, depth)
+        suffix = c[depth - 2] if depth > 1 else np.full(len(h), U(1))
+        at = np.flatnonzero(c[depth - 1] != 0)
+        at = at[passing(known.value, c[depth - 1][at])]
+        at = at[passing(known.value, extended(suffix[at], h[at]))]
+        return c[depth - 1][at], h[at], suffix[at]
+
+    counts = counted(texts, pick, ["context", "word", "suffix"]).filter(F.col("n") >= least)
+    return save(keyed(counts), "pairs")
+
 
-    rows = counted(texts, pick, ["context", "word", "suffix"]).filter(F.col("n") >= least).toPandas()  # at most 1 / p_min rows
-    return {c: rows[c].to_numpy(np.int64) for c in rows.columns}
+def gathered(rows: DataFrame, key: str, *values: str) -> list[np.ndarray]:
+    """Columns of a table of bounded size, in order of `key`."""
+    found = rows.select(key, *values).toPandas()
+    names = found[key].to_numpy(np.int64).view(U)
+    order = np.argsort(names)
+    return [names[order], *(found[v].to_numpy(np.float64)[order] for v in values)]
 
 
-def train(texts: DataFrame, p_min: float = 1e-5, head_share: float = 1e-6, depth: int = 3, ratio: float = 1.3,
-          pull: float = 20.0) -> tuple[DataFrame, Tree, int, int]:
-    """Word counts (word, n) of all training texts, the tree, and the numbers of tokens and of distinct ones."""
+def train(texts: DataFrame, p_min: float = 0.0, head_share: float = 1e-6, depth: int = 3, ratio: float = 1.3, pull: float = 20.0,
+          least: float = 16.0, tree_share: float = 2e-7) -> tuple[DataFrame, Tree, int, int]:
+    """Word counts (word, n) of all training texts, the tree, and the numbers of tokens and of distinct ones.
+
+    `p_min` raises the least count to a share of all tokens.
+    """
     vocabulary = save(counted(texts, lambda h, first: (h,), ["word"]), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = vocabulary.filter(F.col("n") >= max(1, head_share * total)).toPandas()  # at most 1 / head_share rows
-    head, n = rows["word"].to_numpy(np.int64).view(U), rows["n"].to_numpy(np.float64)
-    order = np.argsort(head)
-    head, n = head[order], n[order]
-    base = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
-    root = dict(zip(head.tolist(), (10.0 ** base).tolist()))
-    least = max(2.0, p_min * total)
-    common = head[n >= least]
-    size_of = dict(zip(extended(np.full(len(common), U(1)), common).tolist(), n[n >= least].tolist()))
-    levels: list[dict] = []  # by length from 1: context -> (share left to the parent, {symbol: explicit share}, suffix)
-    keep: list[set] = []
-
-    def probability(length: int, context: int, word: int) -> float:
-        if length == 0:
-            return root[word]
-        left, share, suffix = levels[length - 1][context]
-        return share.get(word, 0.0) + left * probability(length - 1, suffix, word)
-
+    size = total + 0.5 * (distinct + 1)
+    head, n = gathered(vocabulary.filter(F.col("n") >= max(1, head_share * total)), "word", "n")  # at most 1 / head_share rows
+    least = max(2.0, least, p_min * total)
+    root = vocabulary.filter(F.col("n") >= least).select(F.lit(1).cast("long").alias("context"), "word", F.lit(1).cast("long").alias("suffix"), "n")
+    before = save(keyed(root).withColumn("p", (F.col("n") + 0.5) / F.lit(size)), "sequences")  # one word less: key, n, p
+    levels: list[DataFrame] = []
     for d in range(1, depth + 1):
-        if not size_of:
-            break
-        pairs = grown(texts, np.array(sorted(size_of), dtype=U), common, d, least)
-        level: dict = {}
-        context, word, suffix = (pairs[c].view(U) for c in ("context", "word", "suffix"))
-        for c, w, s, k in zip(context.tolist(), word.tolist(), suffix.tolist(), pairs["n"].tolist()):
-            level.setdefault(c, [0.0, {}, s])[1][w] = k
-        for c, node in level.items():
-            size = size_of[c] + pull
-            node[0] = (size - sum(node[1].values())) / size
-            node[1] = {w: k / size for w, k in node[1].items()}
+        pairs = grown(texts, before, d, least)
+        sizes = (pairs.groupBy("context").agg(F.sum("n").alias("explicit"))
+                 .join(before.select(F.col("key").alias("context"), F.col("n").alias("times")), "context")
+                 .select("context", "times", (F.col("times") + pull).alias("size"), ((F.col("times") + pull - F.col("explicit")) / (F.col("times") + pull)).alias("left")))
+        share = F.col("n") / F.col("size")
+        level = save(pairs.join(sizes, "context").join(before.select(F.col("key").alias("under"), F.col("p").alias("q")), "under")
+                     .select("context", "word", "suffix", "n", "key", "times", "left", share.alias("share"), "q", (share + F.col("left") * F.col("q")).alias("p")), "level")
         levels.append(level)
-        chosen = set()
-        for c, (_, share, s) in level.items():
-            for w in share:
-                p, q = probability(d, c, w), probability(d - 1, s, w)
-                if p >= ratio * q or q >= ratio * p:
-                    chosen.add(c)
-                    break
-        keep.append(chosen)
-        longer = word != END[0]
-        size_of = dict(zip(extended(context, word)[longer].tolist(), pairs["n"][longer].tolist()))
-    for d in range(len(levels) - 1, 0, -1):  # every suffix of a kept context is a state too
-        keep[d - 1] |= {levels[d][c][2] for c in keep[d]}
-    contexts, nexts = [], []
-    for level, chosen in zip(levels, keep):
-        names = np.array(sorted(chosen), dtype=U)
-        contexts.append((names, np.array([level[c][0] for c in names.tolist()], dtype=float)))
-        owner = np.array([c for c in names.tolist() for _ in level[c][1]], dtype=U)
-        symbol = np.array([w for c in names.tolist() for w in level[c][1]], dtype=U)
-        share = np.array([s for c in names.tolist() for s in level[c][1].values()], dtype=float)
-        key = extended(owner, symbol)
-        order = np.argsort(key)
-        nexts.append((key[order], share[order]))
-    return vocabulary, Tree(head, base, contexts, nexts), int(total), int(distinct)
+        before = level
+    apart = (F.col("p") >= ratio * F.col("q")) | (F.col("q") >= ratio * F.col("p"))
+    kept, above = [], None
+    for level in reversed(levels):  # every suffix of a kept context is a state too
+        chosen = level.filter(apart).select("context")
+        above = (chosen if above is None else chosen.union(above.select(F.col("suffix").alias("context")))).distinct()
+        above = save(level.join(above, "context", "left_semi"), "kept")
+        kept.insert(0, above)
+    frequent = tree_share * total
+    contexts, nexts, rest = [], [], None
+    for level in kept:
+        states = level.groupBy("context").agg(F.first("times").alias("n"), F.first("left").alias("left"))
+        symbols = level.withColumn("gain", F.log10(F.col("p") / F.col("q") / F.col("left")))
+        contexts.append(tuple(gathered(states.filter(F.col("n") >= frequent), "context", "left")))  # at most 1 / tree_share rows each
+        nexts.append(tuple(gathered(symbols.filter(F.col("n") >= frequent), "key", "share", "gain")))
+        rare = (states.filter(F.col("n") < frequent).select(F.col("context").alias("key"), F.log10("left").alias("value"))
+                .union(symbols.filter(F.col("n") < frequent).select("key", "gain")))
+        rest = rare if rest is None else rest.union(rare)
+    rest = save(rest.groupBy("key").agg(F.sum("value").alias("value")), "sequence_values")
+    return vocabulary, Tree(head, np.log10((n + 0.5) / size), contexts, nexts, rest), int(total), int(distinct)
 
 
 def token_logs(tree: Tree, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: whether it is a head word, its log10 root probability, and log10 of its probability in its state.
+    """For each token: whether it is a head word, its log10 root probability, and that with all values of the tree's head.
 
     For other words the root probability counts as 1, so that their own is added once it is known.
     """
     at, head = member(tree.head, h)
     base = np.where(head, tree.head_log[at] if len(tree.head) else 0.0, 0.0)
-    p = 10.0 ** base
-    for c, (names, left), (keys, share) in zip(chains(h, first, len(tree.contexts)), tree.contexts, tree.nexts):
+    p = base.copy()
+    for c, (names, left), (keys, _, gain) in zip(chains(h, first, len(tree.contexts)), tree.contexts, tree.nexts):
         k, ok = member(names, c)
         sel = np.flatnonzero(ok & (c != 0))
-        if len(sel):
-            p[sel] *= left[k[sel]]
-            e, hit = member(keys, extended(c[sel], h[sel]))
-            p[sel[hit]] += share[e[hit]]
-    return head, base, np.log10(p)
+        p[sel] += np.log10(left[k[sel]])
+        sel = np.flatnonzero(c)
+        e, hit = member(keys, extended(c[sel], h[sel]))
+        p[sel[hit]] += gain[e[hit]]
+    return head, base, p
+
+
+def sought(marks: np.ndarray, h: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences of up to `depth` + 1 words that may have joined values, and the tokens they end with."""
+    found, ends = [], []
+    for c in [np.full(len(h), U(1)), *chains(h, first, depth)]:
+        at = np.flatnonzero(c)
+        x = extended(c[at], h[at])
+        ok = passing(marks, x)
+        found.append(x[ok])
+        ends.append(at[ok])
+    return np.concatenate(found), np.concatenate(ends)
+
+
+def listed(keys: np.ndarray, doc: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """Distinct keys of each document and how often each occurs, as lists."""
+    order = np.lexsort((keys, doc))
+    keys, doc = keys[order], doc[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+    start = np.flatnonzero(new)
+    ends = pa.array(np.searchsorted(doc[start], np.arange(n + 1)).astype(np.int32))
+    return (pa.ListArray.from_arrays(ends, pa.array(keys[start].view(np.int64))),
+            pa.ListArray.from_arrays(ends, pa.array(np.diff(np.append(start, len(order))).astype(np.int32))))
 
 
 SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()),
-                    ("model", pa.float64()), ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+                    ("model", pa.float64()), ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())),
+                    ("key_times", pa.list_(pa.int32()))])
 
 
 def score(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`.
 
     Null and empty texts are the end token alone; rows without doc_id are training rows; repeated rows count each.  Frequent
-    words are looked up in a broadcast of bounded size, all others in a join with the full vocabulary.
+    words and sequences are looked up in a broadcast of bounded size, all others in joins with the full tables.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), bytes_of().alias("text"))
     vocabulary, tree, total, distinct = train(texts.filter(~held_out(F.col("doc_id"))), **settings)
-    shared = spark.sparkContext.broadcast(tree)
+    rest, depth = tree.rest, len(tree.contexts)
+    tree.rest = None
+    shared = spark.sparkContext.broadcast((tree, filter_of(rest)))
     size = total + 0.5 * (distinct + 1)
 
     def run(batches):
@@ -244,28 +273,27 @@ def score(docs: DataFrame, **settings) -> DataFrame:
             data, offsets = binary(batch.column("text"))
             for i, j, part, bounds in blocks(data, offsets):
                 h, first = tokens(part, bounds)
-                head, base, model = token_logs(shared.value, h, first)
-                rest = np.flatnonzero(~head)
+                head, base, model = token_logs(shared.value[0], h, first)
+                words_ = np.flatnonzero(~head)
                 doc = np.repeat(np.arange(j - i), np.diff(first))
-                order = rest[np.lexsort((h[rest], doc[rest]))]
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-                start = np.flatnonzero(new)
-                ends = np.searchsorted(doc[order][start], np.arange(j - i + 1)).astype(np.int32)
+                keys, ends = sought(shared.value[1], h, first, depth)
                 add = lambda x: np.bincount(doc, weights=x, minlength=j - i)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(np.diff(first)),
                      pa.array(add(head).astype(np.int64)), pa.array(add(base)), pa.array(add(model)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(h[order][start].view(np.int64))),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.diff(np.append(start, len(order))).astype(np.int32)))], schema=SCORED)
+                     *listed(h[words_], doc[words_], j - i), *listed(keys, doc[ends], j - i)], schema=SCORED)
 
     scored = save(texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(
-        run, "row long, doc_id long, n_tokens long, n_head long, base double, model double, words array<long>, times array<int>"), "scored")
+        run, "row long, doc_id long, n_tokens long, n_head long, base double, model double, words array<long>, times array<int>, "
+        "keys array<long>, key_times array<int>"), "scored")
     rare = (scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
             .join(vocabulary, "word", "left").groupBy("row")
             .agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_rare"),
                  F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(size))).alias("rare")))
+    deep = (scored.select("row", F.explode(F.arrays_zip("keys", "key_times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.key_times").alias("times"))
+            .join(rest, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("deep")))
     more = F.coalesce("rare", F.lit(0.0))
-    return (scored.drop("words", "times").join(rare, "row", "left")
+    return (scored.drop("words", "times", "keys", "key_times").join(rare, "row", "left").join(deep, "row", "left")
             .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-                    F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score")))
+                    F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"),
+                    (F.col("model") + more + F.coalesce("deep", F.lit(0.0))).alias("score")))

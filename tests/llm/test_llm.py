@@ -157,6 +157,46 @@ def test_suffix_lm_distributions_sum_to_one(given):
     assert abs((left * root + np.where(hit, tree.nexts[0][1][at], 0)).sum() + left * unknown - 1) < 1e-9
 
 
+def test_suffix_lm_counts_follow_the_corpus(spark):
+    """Sequences repeated a fixed number of times count in a corpus of any size, and joined values equal broadcast ones."""
+    from parcelgrid.llm import suffix_lm as lm
+    r = np.random.default_rng(8)
+    other = [" ".join(f"u{x}" for x in r.integers(0, 400, 9000)) for _ in range(200)]
+    phrase = "alpha beta gamma delta epsilon"
+    docs = {i: f"{t} {phrase if i % 16 == 0 else 'none'}" for i, t in enumerate(other)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    settings = dict(least=8.0)
+    got = {x["doc_id"]: (x["base_score"], x["score"]) for x in lm.score(df, **settings).collect()}
+    joined = {x["doc_id"]: x["score"] for x in lm.score(df, tree_share=1e-2, **settings).collect()}
+    assert all(abs(joined[d] - s) < 1e-6 * abs(s) for d, (_, s) in got.items())
+    train = [tokens(t) for d, t in docs.items() if zlib.crc32(str(d).encode()) % 5 != 1]
+    n = [Counter(tuple(t[i:i + k]) for t in train for i in range(len(t) - k + 1)) for k in range(1, 5)]
+    total, distinct = sum(n[0].values()), len(n[0])
+    assert 8 <= n[3]["alpha", "beta", "gamma", "delta"] < 1e-5 * total
+    explicit = [defaultdict(dict) for _ in range(4)]
+    for k in (1, 2, 3):
+        for g, c in n[k].items():
+            if c >= 8:
+                explicit[k][g[:-1]][g[-1]] = c
+
+    def p(c, w):
+        if not c:
+            return (n[0][w,] + 0.5) / (total + 0.5 * (distinct + 1))
+        share, of = explicit[len(c)].get(c, {}), n[len(c) - 1][c] + 20.0
+        return share.get(w, 0) / of + (of - sum(share.values())) / of * p(c[1:], w) if share else p(c[1:], w)
+
+    far = lambda a, b: a >= 1.3 * b or b >= 1.3 * a
+    kept = {c for k in (1, 2, 3) for c, ws in explicit[k].items() if any(far(p(c, w), p(c[1:], w)) for w in ws)}
+    kept |= {c[i:] for c in kept for i in range(1, len(c))}
+    assert ("alpha", "beta") in kept
+    for d in (0, 1, 16):
+        ws, want = tokens(docs[d]), 0.0
+        for i, w in enumerate(ws):
+            c = next((tuple(ws[i - k:i]) for k in (3, 2, 1) if i >= k and tuple(ws[i - k:i]) in kept), ())
+            want += math.log10(p(c, w))
+        assert abs(got[d][1] - want) < 1e-6 * abs(want)
+
+
 def test_decontamination(spark, awkward, given):
     from parcelgrid.llm.decontamination import decontaminate
     bench = [(1, " ".join(BASE.split()[5:25])), (2, "ONE two, three!"), (3, ""), (4, None), (5, "k j i h g f e d c b a z y x"), (None, "one two three"), (2, "one two three")]
