@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelgrid.llm.common import bytes_of
+from parcelgrid.llm.common import bytes_of, save
 from parcelgrid.llm.hashing import U, binary, blocks, mix, runs, shingles, words
-from parcelgrid.llm.similarity import links
+from parcelgrid.llm.similarity import components, links
 
 PERMUTATIONS = 128
 _draw = np.random.default_rng(6)
@@ -63,16 +63,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, rows: int = 5, percent: int = 80) -> DataFrame:
-    """Verified pairs (a, b): signature bands are joined in Spark, each band's least document stands for the band, and the
-    exact Jaccard index of the pair decides.  Texts without words and rows without doc_id pair with nothing."""
+    """Verified pairs (a, b) that hold together all documents which share a signature band and reach `percent`.
+
+    Documents are first compared with the least one of their signature, the others then with the least one of each band;
+    members of a band that are still in different components are compared with each other, so no link between
+    components is lost.  The exact Jaccard index decides each pair.  Texts without words and rows without doc_id pair
+    with nothing.
+    """
     bands = PERMUTATIONS // rows
     width = rows * 4
     cut = F.array(*(F.xxhash64(F.lit(i), F.substring("fingerprint", i * width + 1, width)) for i in range(bands)))
-    keyed = (fingerprints(docs).filter(F.col("doc_id").isNotNull() & (F.col("fingerprint") != "f" * (PERMUTATIONS * 4)))
-             .select("doc_id", F.explode(cut).alias("band")))
-    least = keyed.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = keyed.join(least, "band").select("a", F.col("doc_id").alias("b")).filter("a < b").distinct()
-    return links(docs, pairs, percent).distinct()
+    prints = save(fingerprints(docs).filter(F.col("doc_id").isNotNull() & (F.col("fingerprint") != "f" * (PERMUTATIONS * 4))).distinct(), "minhash_prints")
+    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("a"))
+    stars = prints.join(least, "fingerprint").select("a", F.col("doc_id").alias("b")).filter("a < b").distinct()
+    same = save(links(docs, save(stars, "minhash_pairs"), percent).distinct(), "minhash_links")
+    copies = same.join(least, "a").select(F.col("b").alias("doc_id"), "fingerprint").distinct()
+    keyed = save(prints.join(copies, ["doc_id", "fingerprint"], "left_anti").select("doc_id", F.explode(cut).alias("band")).distinct(), "minhash_bands")
+    stars = keyed.join(keyed.groupBy("band").agg(F.min("doc_id").alias("a")), "band").select("a", F.col("doc_id").alias("b")).filter("a < b").distinct()
+    tried = save(stars, "minhash_pairs")
+    edges = same.union(save(links(docs, tried, percent).distinct(), "minhash_links"))
+    of = components(edges).withColumnRenamed("id", "doc_id")
+    members = save(keyed.join(of, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "minhash_members")
+    several = members.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("band")
+    x, y = (members.join(several, "band").select("band", F.col("doc_id").alias(d), F.col("component").alias(c)) for d, c in (("d0", "c0"), ("d1", "c1")))
+    rest = (x.join(y, "band").filter("c0 < c1").select(F.least("d0", "d1").alias("a"), F.greatest("d0", "d1").alias("b")).filter("a < b").distinct()
+            .join(tried, ["a", "b"], "left_anti"))
+    return edges.union(links(docs, save(rest, "minhash_pairs"), percent)).distinct()
 
 
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "

@@ -322,6 +322,39 @@ def test_minhash_pairs_are_verified(given):
     assert all(same[frozenset(s)] == d or any(b == d for _, b in pairs) for d, s in sets.items() if s)
 
 
+def minhash_family():
+    """Variants of one text in groups: texts of a group are alike, texts of different groups share bands but are not."""
+    r, docs = np.random.default_rng(12), {}
+    base = [f"w{i}" for i in range(120)]
+    for group in range(60):
+        centre = list(base)
+        for at in r.choice(12, 2, replace=False):
+            centre[int(at) * 10 + int(r.integers(10))] = f"g{group}x{at}"
+        for _ in range(3):
+            w = list(centre)
+            w[int(r.integers(len(w)))] = f"e{r.integers(1 << 40)}"
+            docs[len(docs)] = " ".join(w)
+    order = r.permutation(len(docs))
+    return {int(order[d]): t for d, t in docs.items()}
+
+
+def test_minhash_recall(spark):
+    from parcelgrid.llm.fingerprints import near_duplicates
+    docs = minhash_family()
+    pairs = near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)).collect()
+    parent = {d: d for d in docs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    assert {d: find(d) for d in docs} == {d: c for d, (_, c) in linked_by_brute_force(docs).items()}
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
