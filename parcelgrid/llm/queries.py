@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelgrid.llm import (decontamination, fingerprints, fixity, packing, parity_join, pii, sharding, suffix_dedup, suffix_lm,
-                            toxicity)
+from parcelgrid.llm import (decontamination, extraction, fingerprints, fixity, packing, parity_join, periodic_runs, pii, sharding, suffix_dedup,
+                            suffix_lm, toxicity, whitening)
 from parcelgrid.llm.common import table
 
 
@@ -63,6 +63,19 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.collapse(table(spark, sf_dir, "documents"), edit=periodic_runs.looped))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.train(pages))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -70,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_tree_lm, op3_decontamination, op4_warc_fixity, op5_suffix_array_dedup,
                                    op6_minhash_fingerprints, op7_personal_data, op8_toxicity, op9_feistel_shards, op10_parity_join,
-                                   pipeline)}
+                                   op11_periodic_runs, op12_whitening, op13_main_text, pipeline)}
 
 ORACLES = {
     "op3_decontamination": r"""
@@ -104,5 +117,14 @@ SELECT x.page_id, CASE WHEN y.page_id IS NULL THEN 'missing' ELSE 'changed' END
        y."offset" AS replica_offset, y.length AS replica_length, y.digest AS replica_digest
 FROM (SELECT * FROM o WHERE copy = 1) x LEFT JOIN (SELECT * FROM o WHERE copy = 2) y USING (page_id)
 WHERE y.digest IS NULL OR x.digest <> y.digest
+""",
+    # The rows to be found where a page marks its article by an element: what lies within, without markup.
+    "op13_main_text": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's') AS body FROM pages),
+parts AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(regexp_replace(body, '<br[^>]*>', ' ', 'g'), '</?(p|h[1-6]|div|li|ul|ol)(\s[^>]*)?>'),
+  lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+                                                '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS kept FROM a)
+SELECT page_id, url, coalesce(array_to_string(kept, chr(10) || chr(10)), '') AS text, CAST(length(coalesce(array_to_string(kept, chr(10) || chr(10)), '')) AS BIGINT) AS n_chars
+FROM parts
 """,
 }
