@@ -4,8 +4,13 @@ A document's set of five-word shingles becomes a bit sketch: each shingle flips
 sketches is at most the size of the sets' symmetric difference, which for a Jaccard index of 0.8 is at most a ninth of
 both sizes together.  Sketches are cut into parts, by size band as many as the band's largest set has shingles.  At most D
 parts of a linked pair differ, so among the D + 1 rarest parts of either one at least one is shared (pigeonhole); only
-those are joined.  Rarity comes from a table of shingle counts over all documents, hashed to a fixed number of counters;
-it steers the order alone, so collisions cost work and never links.
+those are joined.  Rarity comes from a table of shingle counts over all documents, hashed to counters whose number follows the
+input up to a bound; it steers the order alone, so collisions cost work and never links.
+
+Texts that share a part are not paired with each other.  Each shared part has a centre, the text whose shingles are the most
+common ones, so the parts of a family agree on it; each text is compared with the centres of its parts.  Texts with the same
+centre that are still in different components are then compared by sketches within the join, which are the wider
+the larger the sets, so that only pairs at the threshold come out of it.
 """
 from __future__ import annotations
 
@@ -18,9 +23,10 @@ from parcelgrid.llm.common import bytes_of, save
 from parcelgrid.llm.hashing import U, binary, blocks, distinct_shingles, mix, runs
 from parcelgrid.llm.similarity import components, links
 
-COUNTERS = 18
-DENSE = 8  # longs of the dense sketch that sorts out candidates before their texts are fetched
+LEAST, MOST = 18, 22  # the counters are a power of two between these
+CHUNK = 1 << 14  # counters that travel in one row
 BAND = 64  # sizes below 64, 256, 1024, ... form the bands
+LONGS = 4  # longs of a sketch in the first band, four times as many in each further one
 
 
 def passed(batches, emit):
@@ -34,36 +40,75 @@ def passed(batches, emit):
             yield from emit(ids[i:j], known[i:j], h, doc)
 
 
-def sets_and_counts(docs: DataFrame) -> DataFrame:
-    """One pass: rows of kind 0 describe documents (n, two set sums, dense sketch), rows of kind 1 counters of shingles."""
+def sums(h: np.ndarray, doc: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of m sets and two sums of hashes that stand for their contents."""
+    first, n, out = runs(doc), np.bincount(doc, minlength=m), np.zeros((2, m), U)
+    if len(h):
+        at = doc[first]
+        out[0, at] = np.add.reduceat(mix(h + U(0x51ED27)), first)
+        out[1, at] = np.add.reduceat(mix(h ^ U(0x7A31F5B3D1)), first)
+    return n, out
+
+
+def class_of(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """One number for a set; sets that share it by chance are compared in vain."""
+    return mix(total[0] ^ mix(total[1] + n.astype(U)))
+
+
+def sketches(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The parity sketch of each set, as wide as its size band asks for."""
+    longs = LONGS * 4 ** band_of(n)
+    ends = np.concatenate([[0], np.cumsum(longs)])
+    bit = h % (U(64) * longs[doc].astype(U))
+    flat = np.zeros(ends[-1], U)
+    np.bitwise_xor.at(flat, ends[doc] + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
+
+
+def counter_bits(docs: DataFrame) -> int:
+    """About a counter for every sixteen words, between the bounds."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(np.clip(int(size // 96).bit_length(), LEAST, MOST))
+
+
+def sets_and_counts(docs: DataFrame, bits: int) -> DataFrame:
+    """One pass: rows of kind 0 describe documents (n, two set sums, sketch), rows of kind 1 hold counters of shingles."""
     def run(batches):
-        counters = np.zeros(1 << COUNTERS, dtype=np.int64)
+        counters = np.zeros(1 << bits, dtype=np.int64)
 
         def emit(ids, known, h, doc):
-            nonlocal counters
-            counters += np.bincount((h >> U(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
-            m, first = len(ids), runs(doc)
-            n, sums, dense = np.bincount(doc, minlength=m), np.zeros((2, m), U), np.zeros((m, DENSE), U)
-            if len(h):
-                at = doc[first]
-                sums[0, at] = np.add.reduceat(mix(h + U(0x51ED27)), first)
-                sums[1, at] = np.add.reduceat(mix(h ^ U(0x7A31F5B3D1)), first)
-                bit = U(1) << (h & U(63))
-                for k in range(DENSE):
-                    dense[at, k] = np.bitwise_xor.reduceat(np.where((h >> U(6)) % U(DENSE) == U(k), bit, U(0)), first)
-            sketch = pa.FixedSizeListArray.from_arrays(pa.array(dense.view(np.int64).ravel()), DENSE).cast(pa.list_(pa.int64()))
+            np.add.at(counters, (h >> U(64 - bits)).astype(np.int64), 1)
+            n, total = sums(h, doc, len(ids))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(m, np.int32)), pa.array(ids, mask=~known), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)),
-                 pa.array(sums[1].view(np.int64)), sketch], names=["kind", "id", "n", "s1", "s2", "sketch"])
+                [pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, mask=~known), pa.array(n, pa.int64()), pa.array(total[0].view(np.int64)),
+                 pa.array(total[1].view(np.int64)), pa.array(class_of(n, total).view(np.int64)), sketches(h, doc, n)],
+                names=["kind", "id", "n", "s1", "s2", "class", "sketch"])
 
         yield from passed(batches, emit)
-        used = np.flatnonzero(counters)
-        for cut in np.array_split(used, max(1, len(used) // 20000)):
-            m, none = len(cut), pa.nulls(len(cut), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(cut), pa.array(counters[cut]), none, none,
-                                              pa.nulls(m, pa.list_(pa.int64()))], names=["kind", "id", "n", "s1", "s2", "sketch"])
+        for k in range(0, len(counters), CHUNK):
+            part = counters[k:k + CHUNK]
+            if part.any():
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k // CHUNK]), none, none, none, none,
+                                                  pa.array([part], pa.list_(pa.int64()))], names=["kind", "id", "n", "s1", "s2", "class", "sketch"])
+
+    return docs.mapInArrow(run, "kind int, id long, n long, s1 long, s2 long, class long, sketch array<long>")
+
+
+def rarity(info: DataFrame, bits: int) -> np.ndarray:
+    """Counts of all documents together, on a scale of sixteenths of a doubling; at most 2**MOST bytes."""
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, dtype=np.int64)
+        for part in table.column("sketch").chunks:
+            for row in part:
+                total += row.values.to_numpy()
+        scale = np.minimum(np.round(16 * np.log2(total + 1.0)), 65535).astype(np.uint16)
+        return pa.table({"id": table.column("id")[:1], "counts": pa.array([scale.tobytes()], pa.binary())})
 
-    return docs.mapInArrow(run, "kind int, id long, n long, s1 long, s2 long, sketch array<long>")
+    out = np.zeros(1 << bits, dtype=np.uint16)
+    for r in info.filter("kind = 1").select("id", "sketch").groupBy("id").applyInArrow(add, "id long, counts binary").toLocalIterator():
+        out[r["id"] * CHUNK:(r["id"] + 1) * CHUNK] = np.frombuffer(bytes(r["counts"]), dtype=np.uint16)
+    return out
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
@@ -77,7 +122,7 @@ def band_of(n: np.ndarray) -> np.ndarray:
 def parts(h: np.ndarray, doc: np.ndarray, n_docs: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, document) of the rarest parts of each document's sketch, as many as a linked document must share one of."""
     n = np.bincount(doc, minlength=n_docs)
-    band = band_of(n)
+    band, shift = band_of(n), U(64 - (len(counts) - 1).bit_length())
     keys, owners = [], []
     for up in (0, 1):  # a set within 4/5 of its band's end also goes with the next band
         b = band + up
@@ -91,7 +136,7 @@ def parts(h: np.ndarray, doc: np.ndarray, n_docs: int, counts: np.ndarray) -> tu
         part = (x >> U(20)) % size
         bit = (part << U(32)) | (mix(x) & U(0xFFFFFFFF))  # size * 2**32 bits, of which a document sets few
         order = np.lexsort((bit, d))
-        bit, d, rare = bit[order], d[order], counts[(x[order] >> U(64 - COUNTERS)).astype(np.int64)]
+        bit, d, rare = bit[order], d[order], counts[(x[order] >> shift).astype(np.int64)].astype(np.int64)
         start = np.ones(len(bit), dtype=bool)
         start[1:] = (bit[1:] != bit[:-1]) | (d[1:] != d[:-1])
         first = np.flatnonzero(start)
@@ -122,80 +167,94 @@ def parts(h: np.ndarray, doc: np.ndarray, n_docs: int, counts: np.ndarray) -> tu
     return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
-def hamming(a: str, b: str) -> Column:
-    """Hamming distance of two dense sketches."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def far(x: str, y: str) -> Column:
+    """Hamming distance of two sketches; the wider one is folded to the width of the other."""
+    def folded(wide: str, slim: str) -> str:
+        return f"transform(sequence(0, size({slim}) - 1), i -> aggregate(sequence(0, size({wide}) div size({slim}) - 1), 0L, (s, k) -> s ^ {wide}[i + k * size({slim})]))"
 
+    def apart(p: str, q: str) -> str:
+        return f"aggregate(zip_with({p}, {q}, (u, v) -> bit_count(u ^ v)), 0, (s, b) -> s + b)"
 
-def fit_to_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose sizes and dense sketches allow a link."""
-    a, b = (sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
-    return (pairs.join(a, "a").join(b, "b").filter("5 * na >= 4 * nb and 5 * nb >= 4 * na")
-            .filter(9 * hamming("ka", "kb") <= F.col("na") + F.col("nb")).select("a", "b"))
+    return F.expr(f"case when size({x}) = size({y}) then {apart(x, y)} when size({x}) < size({y}) then {apart(x, folded(y, x))} else {apart(folded(x, y), y)} end")
+
+
+def may_link(x: str, y: str) -> Column:
+    """Whether sizes and sketches allow a link."""
+    return (F.expr(f"5 * {x}.n >= 4 * {y}.n and 5 * {y}.n >= 4 * {x}.n")) & (9 * far(f"{x}.sketch", f"{y}.sketch") <= F.expr(f"{x}.n + {y}.n"))
 
 
 def ordered(a: str, b: str, df: DataFrame) -> DataFrame:
-    return (df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct())
+    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
     Null and wordless texts have no shingles and link with nothing; fewer than five words make one shingle.  Rows that
-    share a doc_id are one node with several texts; a null doc_id has a null component.  Candidates of one key are first
-    linked through the key's least document; documents of a key that are still in different components are then
-    compared with each other, so no link between components is lost, and links within a component need no check.
+    share a doc_id are one node with several texts; a null doc_id has a null component.  Two linked texts share a part, hence
+    its centre: either they end up in one component, or they are compared.  So no link between components is lost,
+    and links within a component need no check.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long"), bytes_of().alias("text"))
-    info = save(sets_and_counts(slim), "parity_sets")
-    every = info.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "s1", "s2", "sketch")
+    bits = counter_bits(slim)
+    info = save(sets_and_counts(slim, bits), "parity_sets")
+    every = info.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "s1", "s2", "class", "sketch")
     linked = every.filter("n > 0 and doc_id is not null")
-    reps = linked.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    reps = linked.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("class").alias("class"))
     classes = save(linked.join(reps.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("doc_id", "rep").distinct(), "parity_classes")
-    sets = save(reps.select("rep", "n", "sketch"), "parity_reps")
-    counts = np.zeros(1 << COUNTERS, dtype=np.int64)
-    for r in info.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():  # at most 2**18 rows
-        counts[r["id"]] = r["n"]
-    shared = spark.sparkContext.broadcast(counts)
+    shared = spark.sparkContext.broadcast(rarity(info, bits))
 
     def run(batches):
+        seen: set[int] = set()  # a task tells the parts of copies once
+
         def emit(ids, known, h, doc):
-            key, owner = parts(h, doc, len(ids), shared.value)
-            keep = known[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(ids[owner[keep]])], names=["key", "doc_id"])
+            m = len(ids)
+            n, total = sums(h, doc, m)
+            name = class_of(n, total)
+            new = np.zeros(m, dtype=bool)
+            for k in np.flatnonzero(known & (n > 0)):
+                if (c := int(name[k])) not in seen:
+                    seen.add(c)
+                    new[k] = True
+            mine = new[doc]
+            h, doc = h[mine], doc[mine]
+            common = np.bincount(doc, shared.value[(h >> U(64 - bits)).astype(np.int64)], minlength=m) / np.maximum(n, 1)
+            key, owner = parts(h, doc, m, shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name[owner].view(np.int64)), pa.array(common[owner].astype(np.float32))],
+                                             names=["key", "class", "common"])
 
         yield from passed(batches, emit)
 
     of_key = Window.partitionBy("key")
-    buckets = save(slim.mapInArrow(run, "key long, doc_id long").withColumn("least", F.min("doc_id").over(of_key))
-                   .withColumn("most", F.max("doc_id").over(of_key)).filter("least < most").select("key", "doc_id", "least"), "parity_buckets")
-    to_rep = classes.select("doc_id", "rep")
-    stars = (buckets.select("least", "doc_id").distinct().join(to_rep, "doc_id").withColumnRenamed("rep", "b").drop("doc_id")
-             .join(to_rep.withColumnRenamed("doc_id", "least").withColumnRenamed("rep", "a"), "least"))
-    tried = save(fit_to_link(ordered("a", "b", stars), sets), "parity_tried")
-    several = (classes.withColumn("a", F.min("rep").over(Window.partitionBy("doc_id"))).filter("a < rep")
-               .select("a", F.col("rep").alias("b")))  # an id with several texts holds their classes together
+    typical = F.max_by("class", F.struct("common", "class")).over(of_key)
+    groups = save(slim.mapInArrow(run, "key long, class long, common float")
+                  .select("class", F.min("class").over(of_key).alias("least"), F.max("class").over(of_key).alias("most"), typical.alias("centre"))
+                  .filter("least < most").select("centre", "class").distinct(), "parity_groups")
+    wanted = groups.select("class").distinct()  # every centre is a member too
+    sets = save(reps.join(wanted, "class", "left_semi").join(linked.select("doc_id", "n", "s1", "s2", "sketch"), ["n", "s1", "s2"])
+                .filter("doc_id = rep").groupBy("rep", "class", "n").agg(F.first("sketch").alias("sketch")), "parity_reps")
+    members = save(groups.join(sets.select("class", "rep", "n", "sketch"), "class")
+                   .join(sets.select(F.col("class").alias("centre"), F.col("rep").alias("star")).distinct(), "centre").select("star", "rep", "n", "sketch"), "parity_members")
+    x, y = members.filter("star <> rep").alias("x"), sets.alias("y")
+    tried = save(ordered("x1", "y1", x.join(y, (F.col("x.star") == F.col("y.rep")) & may_link("x", "y"))
+                         .select(F.col("x.star").alias("x1"), F.col("x.rep").alias("y1"))), "parity_tried")
+    spread = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
+    several = classes.join(spread, "doc_id").filter("a < rep").select("a", F.col("rep").alias("b"))  # an id holds its texts together
     edges = save(links(docs, tried).union(several), "parity_links")
 
-    def classified(links_: DataFrame) -> DataFrame:
-        return (classes.join(components(links_).withColumnRenamed("id", "rep"), "rep", "left")
-                .select("doc_id", "rep", F.coalesce("component", "rep").alias("component")))
+    def component_of(nodes: DataFrame, links_: DataFrame) -> DataFrame:
+        return (nodes.join(components(links_).withColumnRenamed("id", "rep"), "rep", "left")
+                .withColumn("component", F.coalesce("component", "rep")))
 
-    of = classified(edges)
-    parts_of = [F.col("sketch")[i].alias(f"k{i}") for i in range(DENSE)]
-    open_ = save(buckets.select("key", "doc_id").join(of, "doc_id").withColumn("c0", F.min("component").over(of_key))
-                 .withColumn("c1", F.max("component").over(of_key)).filter("c0 < c1").select("key", "component", "rep").distinct()
-                 .join(sets, "rep").select("key", "component", "rep", "n", *parts_of), "parity_open")
-    # sizes and sketches decide inside the join, so that only pairs that may link come out of it
+    placed = component_of(members, edges)
+    open_ = save(placed.join(placed.groupBy("star").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("star"), "star"),
+                 "parity_open")
     x, y = open_.alias("x"), open_.alias("y")
-    far = sum(F.bit_count(F.col(f"x.k{i}").bitwiseXOR(F.col(f"y.k{i}"))) for i in range(DENSE))
-    near = ((F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & (5 * F.col("x.n") >= 4 * F.col("y.n"))
-            & (5 * F.col("y.n") >= 4 * F.col("x.n")) & (9 * far <= F.col("x.n") + F.col("y.n")))
-    rest = (ordered("r1", "r2", x.join(y, near).select(F.col("x.rep").alias("r1"), F.col("y.rep").alias("r2")))
+    apart = (F.col("x.star") == F.col("y.star")) & (F.col("x.component") < F.col("y.component")) & may_link("x", "y")
+    rest = (ordered("r1", "r2", x.join(y, apart).select(F.col("x.rep").alias("r1"), F.col("y.rep").alias("r2")))
             .join(tried, ["a", "b"], "left_anti"))
     more = save(links(docs, save(rest, "parity_rest")), "parity_links")
-    if not more.isEmpty():
-        of = classified(edges.union(more))
+    of = component_of(classes, edges if more.isEmpty() else edges.union(more))
     return (every.select("doc_id", F.col("n").alias("n_shingles")).join(of.select("doc_id", "component").distinct(), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
