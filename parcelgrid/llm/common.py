@@ -1,6 +1,9 @@
 """Tables in the shared folder and bounded lookups that the operators share."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +14,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that `save` writes within the block are deleted at its end, but for those taken out of the list it gives."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made.pop()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage without a second run of it."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _made:
+        _made[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

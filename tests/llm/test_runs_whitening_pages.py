@@ -254,3 +254,47 @@ def test_main_text_of_awkward_pages(spark, trees):  # noqa: F811
     assert extract(df.limit(0), train(df.limit(0))).count() == 0
     assert extract(df, train(df.filter("html is null"))).count() == len(odd)
     assert extract(df, train(df)).count() == len(odd)
+
+
+def test_scratch_tables_go(spark, tmp_path):  # noqa: F811
+    import os
+
+    from parcelgrid.llm.common import save, scratch
+    path = lambda df: df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    with scratch(spark) as made:
+        first, second = save(spark.range(3), "a"), save(spark.range(4), "b")
+        assert len(made) == 2
+        made.pop()
+        gone, stays = path(first), path(second)
+    assert not os.path.exists(gone) and os.path.exists(stays) and second.count() == 4
+
+
+def test_a_family_without_links_meets_once(spark, monkeypatch):  # noqa: F811
+    """Texts that share most words without being linked: few candidates come out of the joins."""
+    from parcelgrid.llm import parity_join
+    rng, base, rows = random.Random(3), [f"w{i}" for i in range(400)], []
+    for d in range(400):
+        w = list(base)
+        for k in rng.sample(range(400), 24):
+            w[k] = f"d{d}x{k}"
+        rows.append((d, " ".join(w), "en", "a"))
+    rows.append((400, " ".join(base), "en", "a"))
+    sizes, real = [], parity_join.links
+    monkeypatch.setattr(parity_join, "links", lambda docs, pairs: sizes.append(pairs.count()) or real(docs, pairs))
+    out = parity_join.join(frame(spark, rows)).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in out)
+    assert sizes[0] <= 2 * len(rows) and sizes[1] <= len(rows)
+
+
+def test_pipeline_stages_on_awkward_tables(spark, repeats, empty):  # noqa: F811
+    """Empty tables, null ids, repeated rows, clashing columns and a very long text go through all stages."""
+    import corpus_pipeline as cp
+    long = frame(spark, [(900, " ".join(f"long{i} words" for i in range(100_000)), "en", "a")])
+    for docs, least in ((empty, 0), (repeats.unionByName(long), 1)):
+        docs = docs.withColumn("row", docs["n"]).withColumn("text_a", docs["n"])
+        for name, stage in cp.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "packing":
+                assert tuple(out.columns) == cp.COLUMNS
+                docs = spark.createDataFrame(out.collect(), out.schema)
+        assert out.count() >= least
