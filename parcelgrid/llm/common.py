@@ -14,6 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[list[str]] = []
 
 
@@ -33,9 +34,17 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage without a second run of it."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Writes a table to the shared folder and reads it back: cuts the lineage without a second run of it.
+
+    Nothing reads the shuffles of the write again, so Spark is told to delete their files when it ends.
+    """
+    path, conf = fresh_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     if _made:
         _made[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

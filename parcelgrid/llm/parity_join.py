@@ -23,8 +23,9 @@ from parcelgrid.llm.common import bytes_of, save
 from parcelgrid.llm.hashing import U, binary, blocks, distinct_shingles, mix, runs
 from parcelgrid.llm.similarity import components, links
 
-LEAST, MOST = 18, 22  # the counters are a power of two between these
-CHUNK = 1 << 14  # counters that travel in one row
+LEAST, MOST = 18, 20  # the counters are a power of two between these
+CHUNK = 1 << 14  # counters that travel in one row, those that are not zero, each as its place and its count
+PLACE = 44  # bits of the count
 BAND = 64  # sizes below 64, 256, 1024, ... form the bands
 LONGS = 4  # longs of a sketch in the first band, four times as many in each further one
 
@@ -51,8 +52,8 @@ def sums(h: np.ndarray, doc: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray
 
 
 def class_of(n: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """One number for a set; sets that share it by chance are compared in vain."""
-    return mix(total[0] ^ mix(total[1] + n.astype(U)))
+    """A number of 40 bits for a set; sets that share it by chance are compared in vain."""
+    return mix(total[0] ^ mix(total[1] + n.astype(U))) >> U(24)
 
 
 def sketches(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -86,11 +87,11 @@ def sets_and_counts(docs: DataFrame, bits: int) -> DataFrame:
 
         yield from passed(batches, emit)
         for k in range(0, len(counters), CHUNK):
-            part = counters[k:k + CHUNK]
-            if part.any():
-                none = pa.nulls(1, pa.int64())
+            at = np.flatnonzero(counters[k:k + CHUNK])
+            if len(at):
+                none, packed = pa.nulls(1, pa.int64()), at << PLACE | counters[k + at]
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k // CHUNK]), none, none, none, none,
-                                                  pa.array([part], pa.list_(pa.int64()))], names=["kind", "id", "n", "s1", "s2", "class", "sketch"])
+                                                  pa.array([packed], pa.list_(pa.int64()))], names=["kind", "id", "n", "s1", "s2", "class", "sketch"])
 
     return docs.mapInArrow(run, "kind int, id long, n long, s1 long, s2 long, class long, sketch array<long>")
 
@@ -101,7 +102,8 @@ def rarity(info: DataFrame, bits: int) -> np.ndarray:
         total = np.zeros(CHUNK, dtype=np.int64)
         for part in table.column("sketch").chunks:
             for row in part:
-                total += row.values.to_numpy()
+                packed = row.values.to_numpy()
+                total[packed >> PLACE] += packed & (1 << PLACE) - 1
         scale = np.minimum(np.round(16 * np.log2(total + 1.0)), 65535).astype(np.uint16)
         return pa.table({"id": table.column("id")[:1], "counts": pa.array([scale.tobytes()], pa.binary())})
 
@@ -220,17 +222,16 @@ def join(docs: DataFrame) -> DataFrame:
             mine = new[doc]
             h, doc = h[mine], doc[mine]
             common = np.bincount(doc, shared.value[(h >> U(64 - bits)).astype(np.int64)], minlength=m) / np.maximum(n, 1)
+            typical = np.minimum(common / 2, 255).astype(np.uint64) << U(40) | name  # the order of classes is how common their shingles are
             key, owner = parts(h, doc, m, shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name[owner].view(np.int64)), pa.array(common[owner].astype(np.float32))],
-                                             names=["key", "class", "common"])
+            yield pa.RecordBatch.from_arrays([pa.array((key >> U(16)).view(np.int64)), pa.array(typical[owner].view(np.int64))], names=["key", "class"])
 
         yield from passed(batches, emit)
 
-    of_key = Window.partitionBy("key")
-    typical = F.max_by("class", F.struct("common", "class")).over(of_key)
-    groups = save(slim.mapInArrow(run, "key long, class long, common float")
-                  .select("class", F.min("class").over(of_key).alias("least"), F.max("class").over(of_key).alias("most"), typical.alias("centre"))
-                  .filter("least < most").select("centre", "class").distinct(), "parity_groups")
+    of_key, name = Window.partitionBy("key"), F.col("class").bitwiseAND(F.lit((1 << 40) - 1))
+    groups = save(slim.mapInArrow(run, "key long, class long")
+                  .select("class", F.min("class").over(of_key).alias("least"), F.max("class").over(of_key).alias("centre"))
+                  .filter("least < centre").select(F.col("centre").bitwiseAND(F.lit((1 << 40) - 1)).alias("centre"), name.alias("class")).distinct(), "parity_groups")
     wanted = groups.select("class").distinct()  # every centre is a member too
     sets = save(reps.join(wanted, "class", "left_semi").join(linked.select("doc_id", "n", "s1", "s2", "sketch"), ["n", "s1", "s2"])
                 .filter("doc_id = rep").groupBy("rep", "class", "n").agg(F.first("sketch").alias("sketch")), "parity_reps")
