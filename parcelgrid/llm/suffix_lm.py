@@ -5,9 +5,10 @@ with the corpus.  It is counted and kept in Spark.  A context is kept if some ne
 under its longest proper suffix by a factor of `ratio` or more, or if it is a suffix of a kept one.  Next-symbol
 distributions are smoothed towards that suffix, down to the add-half unigram model at the root.
 
-A token's log probability is a sum: its root's, log of what each kept context leaves to its parent, and, where the symbol is
-explicit in a context, log p(context) - log p(suffix) - log left.  So each sequence of words has one value, whatever
-surrounds it: those of the frequent head are broadcast, all others joined.
+A text's log probability is a sum: the root's for each token, log of what each kept context leaves to its parent, and, where a
+symbol is explicit in a context, log p(context) - log p(suffix) - log left.  The last two belong to a sequence of words,
+whatever surrounds it, so each sequence has one value per occurrence.  Those of the most frequent words and sequences, a
+fixed number, are broadcast; all others are joined.
 """
 from __future__ import annotations
 
@@ -25,14 +26,17 @@ END = np.array([0x5EED0E4D], dtype=U)
 STEP = U(0x9E3779B97F4A7C15)
 
 
+HEAD = 1 << 18  # words, and sequences, that are broadcast at most
+
+
 @dataclass
 class Tree:
-    """The frequent head: sorted hashes of kept contexts by length, what is left to the parent in each, and explicit next symbols."""
-    head: np.ndarray          # frequent words, sorted
-    head_log: np.ndarray      # their log10 root probability
-    contexts: list            # by length from 1: (context hashes sorted, share left to the parent)
-    nexts: list               # by length from 1: (hash of context and symbol sorted, explicit share, gain over the suffix)
-    rest: DataFrame           # (key, value): log10 values of all other sequences
+    """The frequent head: sorted hashes of words with their log10 root probability, and of sequences with their values."""
+    words: np.ndarray
+    roots: np.ndarray
+    sequences: np.ndarray
+    values: np.ndarray
+    rest: DataFrame | None  # (key, value): log10 values of all other sequences
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,16 +50,13 @@ def extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * STEP + mix(word + U(1)))
 
 
-def chains(h: np.ndarray, first: np.ndarray, depth: int) -> list[np.ndarray]:
-    """By length from 1 to `depth`: the hash of the words before each token; 0 where the document has fewer."""
+def sequences(h: np.ndarray, first: np.ndarray, longest: int) -> list[np.ndarray]:
+    """By length from 1 to `longest`: the hash of the tokens up to and with each one; 0 where the document has fewer."""
     n = len(h)
     place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
-    out = []
-    for d in range(1, depth + 1):
-        c = np.full(n, U(1))
-        for j in range(d, 0, -1):
-            c = extended(c, np.concatenate([np.zeros(j, U), h[:-j]]) if n > j else np.zeros(n, U))
-        out.append(np.where(place >= d, c, U(0)))
+    out = [extended(np.full(n, U(1)), h)]
+    for k in range(1, longest):
+        out.append(np.where(place >= k, extended(np.concatenate([np.zeros(1, U), out[-1][:-1]]), h), U(0)) if n else out[0])
     return out
 
 
@@ -71,24 +72,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def counted(texts: DataFrame, pick, columns: list[str]) -> DataFrame:
-    """Sums over all texts of what `pick(tokens, first)` yields: arrays for `columns`, merged per task before the shuffle."""
+    """Sums over all texts of what `pick(tokens, first)` yields, an array by which equal rows come together and arrays for
+    `columns`; merged per task before the shuffle."""
     def run(batches):
         held, size = [], 0
 
         def flush():
-            keys = [np.concatenate([h[i] for h in held]) for i in range(len(columns))]
-            weights = np.concatenate([h[-1] for h in held])
-            order = np.lexsort(keys[::-1])
-            keys, weights = [k[order] for k in keys], weights[order]
-            new = np.ones(len(order), dtype=bool)
-            if len(order):
+            order, *keys, weights = (np.concatenate([x[i] for x in held]) for i in range(len(columns) + 2))
+            at = np.argsort(order)
+            order, weights, keys = order[at], weights[at], [k[at] for k in keys]
+            new = np.ones(len(at), dtype=bool)
+            if len(at):
                 new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
             first = np.flatnonzero(new)
-            return [k[first] for k in keys] + [np.add.reduceat(weights, first) if len(first) else weights]
+            return [order[first], *(k[first] for k in keys), np.add.reduceat(weights, first) if len(first) else weights]
 
         def emit(merged):
             for cut in range(0, max(1, len(merged[0])), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[cut:cut + 50_000].view(np.int64)) for a in merged], names=[*columns, "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[cut:cut + 50_000].view(np.int64)) for a in merged[1:]], names=[*columns, "n"])
 
         for batch in batches:
             for _, _, part, bounds in blocks(*binary(batch.column("text"))):
@@ -109,8 +110,10 @@ def counted(texts: DataFrame, pick, columns: list[str]) -> DataFrame:
     return texts.mapInArrow(run, schema).groupBy(*columns).agg(F.sum("n").alias("n"))
 
 
-def filter_of(keys: DataFrame, bits: int = 27) -> np.ndarray:
-    """A filter of 2**bits bits over the column `key`; what passes it wrongly only adds rows that are dropped later."""
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """A filter over the column `key` of some sixteen bits a row, 2**28 at most; what passes it wrongly only adds rows that are
+    dropped later."""
+    bits = int(np.clip((16 * keys.count()).bit_length(), 20, 28))
     slot = F.shiftrightunsigned("key", 64 - bits) + 1
     out = np.zeros(1 << bits - 3, dtype=np.uint8)
     for r in (keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b"))
@@ -132,109 +135,106 @@ def keyed(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(extended(c, w).view(np.int64)), pa.array(extended(s, w).view(np.int64))],
                                              names=[*batch.schema.names, "key", "under"])
 
-    return pairs.mapInArrow(run, "context long, word long, suffix long, n long, key long, under long")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    return pairs.mapInArrow(run, schema + ", key long, under long")
 
 
-def grown(texts: DataFrame, sequences: DataFrame, depth: int, least: float) -> DataFrame:
-    """(context of `depth` words, next symbol) of at least `least` occurrences, with the context's suffix (one word fewer).
+def grown(texts: DataFrame, before: DataFrame, depth: int, least: float) -> DataFrame:
+    """(context of `depth` words, next symbol) of at least `least` occurrences, with the context's suffix (one word fewer) and
+    its own number of occurrences (`times`).
 
-    Both its first and its last `depth` words must be among `sequences`; a filter of fixed size sorts out most others.
+    Both its first and its last `depth` words must be among the sequences of `before`; a filter sorts out most others.
     """
-    known = texts.sparkSession.sparkContext.broadcast(filter_of(sequences))
+    known = texts.sparkSession.sparkContext.broadcast(filter_of(before))
 
     def pick(h, first):
-        c = chains(h, first, depth)
-        suffix = c[depth - 2] if depth > 1 else np.full(len(h), U(1))
-        at = np.flatnonzero(c[depth - 1] != 0)
-        at = at[passing(known.value, c[depth - 1][at])]
-        at = at[passing(known.value, extended(suffix[at], h[at]))]
-        return c[depth - 1][at], h[at], suffix[at]
-
-    counts = counted(texts, pick, ["context", "word", "suffix"]).filter(F.col("n") >= least)
-    return save(keyed(counts), "pairs")
-
-
-def gathered(rows: DataFrame, key: str, *values: str) -> list[np.ndarray]:
-    """Columns of a table of bounded size, in order of `key`."""
-    found = rows.select(key, *values).toPandas()
-    names = found[key].to_numpy(np.int64).view(U)
+        up_to = sequences(h, first, depth + 1)
+        whole, last = up_to[depth], up_to[depth - 1]
+        at = np.flatnonzero(whole)
+        at = at[passing(known.value, last[at - 1])]
+        at = at[passing(known.value, last[at])]
+        return whole[at], last[at - 1], h[at]
+
+    counts = counted(texts, pick, ["context", "word"]).filter(F.col("n") >= least)
+    states = before.select(F.col("key").alias("context"), F.col("under").alias("suffix"), F.col("n").alias("times"))
+    return save(keyed(counts.join(states, "context")), "pairs")
+
+
+def most_frequent(rows: DataFrame, head: int) -> Column:
+    """A condition on `n` that the most frequent rows meet, `head` of them at most, from a histogram of counts."""
+    level = F.floor(8 * F.log2("n")).cast("int")
+    total, cut = 0, None
+    for r in rows.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect():  # a few hundred rows
+        total += r["rows"]
+        if total > head:
+            break
+        cut = r["level"]
+    return level >= cut if cut is not None else F.lit(False)
+
+
+def gathered(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of a table of bounded size, in order of `key`."""
+    found = rows.select(key, value).toArrow()
+    names = found.column(key).to_numpy().view(U)
     order = np.argsort(names)
-    return [names[order], *(found[v].to_numpy(np.float64)[order] for v in values)]
+    return names[order], found.column(value).to_numpy()[order]
 
 
-def train(texts: DataFrame, p_min: float = 0.0, head_share: float = 1e-6, depth: int = 3, ratio: float = 1.3, pull: float = 20.0,
-          least: float = 16.0, tree_share: float = 2e-7) -> tuple[DataFrame, Tree, int, int]:
-    """Word counts (word, n) of all training texts, the tree, and the numbers of tokens and of distinct ones.
+def train(texts: DataFrame, depth: int = 3, ratio: float = 1.3, pull: float = 20.0, least: float = 16.0, head: int = HEAD) -> tuple[DataFrame, Tree, int, int]:
+    """Word counts (word, n) of all training texts, the tree, and the numbers of tokens and of distinct ones."""
+    def words_(h, first):
+        return h, h
 
-    `p_min` raises the least count to a share of all tokens.
-    """
-    vocabulary = save(counted(texts, lambda h, first: (h,), ["word"]), "vocabulary")
+    vocabulary = save(counted(texts, words_, ["word"]), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     size = total + 0.5 * (distinct + 1)
-    head, n = gathered(vocabulary.filter(F.col("n") >= max(1, head_share * total)), "word", "n")  # at most 1 / head_share rows
-    least = max(2.0, least, p_min * total)
+    least = max(2.0, least)
     root = vocabulary.filter(F.col("n") >= least).select(F.lit(1).cast("long").alias("context"), "word", F.lit(1).cast("long").alias("suffix"), "n")
-    before = save(keyed(root).withColumn("p", (F.col("n") + 0.5) / F.lit(size)), "sequences")  # one word less: key, n, p
+    before = save(keyed(root).withColumn("under", F.lit(1).cast("long")).withColumn("p", (F.col("n") + 0.5) / F.lit(size)), "sequences")
     levels: list[DataFrame] = []
-    for d in range(1, depth + 1):
+    for d in range(1, depth + 1):  # `before`: sequences of d words (key, n, p, under: the hash without the first word)
         pairs = grown(texts, before, d, least)
-        sizes = (pairs.groupBy("context").agg(F.sum("n").alias("explicit"))
-                 .join(before.select(F.col("key").alias("context"), F.col("n").alias("times")), "context")
-                 .select("context", "times", (F.col("times") + pull).alias("size"), ((F.col("times") + pull - F.col("explicit")) / (F.col("times") + pull)).alias("left")))
+        sizes = (pairs.groupBy("context").agg(F.sum("n").alias("explicit"), F.first("times").alias("t"))
+                 .select("context", (F.col("t") + pull).alias("size"), ((F.col("t") + pull - F.col("explicit")) / (F.col("t") + pull)).alias("left")))
         share = F.col("n") / F.col("size")
         level = save(pairs.join(sizes, "context").join(before.select(F.col("key").alias("under"), F.col("p").alias("q")), "under")
-                     .select("context", "word", "suffix", "n", "key", "times", "left", share.alias("share"), "q", (share + F.col("left") * F.col("q")).alias("p")), "level")
+                     .select("context", "suffix", "n", "key", "under", "times", "left", "q", (share + F.col("left") * F.col("q")).alias("p")), "level")
         levels.append(level)
         before = level
     apart = (F.col("p") >= ratio * F.col("q")) | (F.col("q") >= ratio * F.col("p"))
-    kept, above = [], None
+    above, rows = None, None
     for level in reversed(levels):  # every suffix of a kept context is a state too
         chosen = level.filter(apart).select("context")
         above = (chosen if above is None else chosen.union(above.select(F.col("suffix").alias("context")))).distinct()
         above = save(level.join(above, "context", "left_semi"), "kept")
-        kept.insert(0, above)
-    frequent = tree_share * total
-    contexts, nexts, rest = [], [], None
-    for level in kept:
-        states = level.groupBy("context").agg(F.first("times").alias("n"), F.first("left").alias("left"))
-        symbols = level.withColumn("gain", F.log10(F.col("p") / F.col("q") / F.col("left")))
-        contexts.append(tuple(gathered(states.filter(F.col("n") >= frequent), "context", "left")))  # at most 1 / tree_share rows each
-        nexts.append(tuple(gathered(symbols.filter(F.col("n") >= frequent), "key", "share", "gain")))
-        rare = (states.filter(F.col("n") < frequent).select(F.col("context").alias("key"), F.log10("left").alias("value"))
-                .union(symbols.filter(F.col("n") < frequent).select("key", "gain")))
-        rest = rare if rest is None else rest.union(rare)
-    rest = save(rest.groupBy("key").agg(F.sum("value").alias("value")), "sequence_values")
-    return vocabulary, Tree(head, np.log10((n + 0.5) / size), contexts, nexts, rest), int(total), int(distinct)
-
-
-def token_logs(tree: Tree, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: whether it is a head word, its log10 root probability, and that with all values of the tree's head.
-
-    For other words the root probability counts as 1, so that their own is added once it is known.
+        states = above.groupBy(F.col("context").alias("key")).agg(F.first("times").alias("n"), F.log10(F.first("left")).alias("value"))
+        found = above.select("key", "n", F.log10(F.col("p") / F.col("q") / F.col("left")).alias("value")).union(states.select("key", "n", "value"))
+        rows = found if rows is None else rows.union(found)
+    values = save(rows.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "sequence_values")
+    frequent = most_frequent(values, head)
+    words, n = gathered(vocabulary.filter(most_frequent(vocabulary, head)), "word", "n")
+    keys, gains = gathered(values.filter(frequent), "key", "value")
+    return vocabulary, Tree(words, np.log10((n + 0.5) / size), keys, gains, values.filter(~frequent).select("key", "value")), int(total), int(distinct)
+
+
+def looked_up(tree: Tree, marks: np.ndarray, h: np.ndarray, first: np.ndarray, depth: int):
+    """For each token whether it is a head word, its log10 root probability and that with the head's sequences that end there; then
+    all other sequences that may have a value, and the tokens they end with.
+
+    For words outside the head the root probability counts as 1, so that their own is added once it is known.
     """
-    at, head = member(tree.head, h)
-    base = np.where(head, tree.head_log[at] if len(tree.head) else 0.0, 0.0)
-    p = base.copy()
-    for c, (names, left), (keys, _, gain) in zip(chains(h, first, len(tree.contexts)), tree.contexts, tree.nexts):
-        k, ok = member(names, c)
-        sel = np.flatnonzero(ok & (c != 0))
-        p[sel] += np.log10(left[k[sel]])
-        sel = np.flatnonzero(c)
-        e, hit = member(keys, extended(c[sel], h[sel]))
-        p[sel[hit]] += gain[e[hit]]
-    return head, base, p
-
-
-def sought(marks: np.ndarray, h: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences of up to `depth` + 1 words that may have joined values, and the tokens they end with."""
-    found, ends = [], []
-    for c in [np.full(len(h), U(1)), *chains(h, first, depth)]:
-        at = np.flatnonzero(c)
-        x = extended(c[at], h[at])
-        ok = passing(marks, x)
-        found.append(x[ok])
-        ends.append(at[ok])
-    return np.concatenate(found), np.concatenate(ends)
+    at, known = member(tree.words, h)
+    base = np.where(known, tree.roots[at] if len(tree.words) else 0.0, 0.0)
+    model, found, ends = base.copy(), [], []
+    for x in sequences(h, first, depth + 1):
+        place = np.flatnonzero(x)
+        k, hit = member(tree.sequences, x[place])
+        model[place[hit]] += tree.values[k[hit]]
+        place = place[~hit]
+        place = place[passing(marks, x[place])]
+        found.append(x[place])
+        ends.append(place)
+    return known, base, model, np.concatenate(found), np.concatenate(ends)
 
 
 def listed(keys: np.ndarray, doc: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
@@ -254,7 +254,7 @@ SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa
                     ("key_times", pa.list_(pa.int32()))])
 
 
-def score(docs: DataFrame, **settings) -> DataFrame:
+def score(docs: DataFrame, depth: int = 3, **settings) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`.
 
     Null and empty texts are the end token alone; rows without doc_id are training rows; repeated rows count each.  Frequent
@@ -262,9 +262,8 @@ def score(docs: DataFrame, **settings) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), bytes_of().alias("text"))
-    vocabulary, tree, total, distinct = train(texts.filter(~held_out(F.col("doc_id"))), **settings)
-    rest, depth = tree.rest, len(tree.contexts)
-    tree.rest = None
+    vocabulary, tree, total, distinct = train(texts.filter(~held_out(F.col("doc_id"))), depth=depth, **settings)
+    rest, tree.rest = tree.rest, None
     shared = spark.sparkContext.broadcast((tree, filter_of(rest)))
     size = total + 0.5 * (distinct + 1)
 
@@ -273,10 +272,9 @@ def score(docs: DataFrame, **settings) -> DataFrame:
             data, offsets = binary(batch.column("text"))
             for i, j, part, bounds in blocks(data, offsets):
                 h, first = tokens(part, bounds)
-                head, base, model = token_logs(shared.value[0], h, first)
+                head, base, model, keys, ends = looked_up(*shared.value, h, first, depth)
                 words_ = np.flatnonzero(~head)
                 doc = np.repeat(np.arange(j - i), np.diff(first))
-                keys, ends = sought(shared.value[1], h, first, depth)
                 add = lambda x: np.bincount(doc, weights=x, minlength=j - i)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(np.diff(first)),

@@ -145,16 +145,18 @@ def test_suffix_lm_distributions_sum_to_one(given):
 
     from parcelgrid.llm import suffix_lm as lm
     texts = given.select("doc_id", F.col("text").cast("binary").alias("text"))
-    vocabulary, tree, total, distinct = lm.train(texts, p_min=1e-3)
+    vocabulary, tree, total, distinct = lm.train(texts, least=20.0, depth=1)
     words = np.sort(np.array([r["word"] for r in vocabulary.collect()], dtype=np.int64).view(np.uint64))
-    assert len(tree.contexts) >= 1 and len(tree.contexts[0][0])
-    root = 10 ** tree.head_log  # every word is a head word here
+    root = 10 ** tree.roots  # every word is a head word here
     unknown = 0.5 / (total + 0.5 * (distinct + 1))
     assert abs(root.sum() + unknown - 1) < 1e-9
-    assert np.array_equal(np.sort(tree.head), words)
-    c, left = tree.contexts[0][0][0], tree.contexts[0][1][0]
-    at, hit = lm.member(tree.nexts[0][0], lm.extended(np.full(len(words), c), words))
-    assert abs((left * root + np.where(hit, tree.nexts[0][1][at], 0)).sum() + left * unknown - 1) < 1e-9
+    assert np.array_equal(tree.words, words)
+    ones = lm.extended(np.full(len(words), 1, np.uint64), words)
+    at, hit = lm.member(tree.sequences, ones)
+    assert hit.any()
+    for c, left in zip(ones[hit][:20], 10 ** tree.values[at[hit]][:20]):  # the value of a context is what it leaves to the root
+        k, explicit = lm.member(tree.sequences, lm.extended(np.full(len(words), c), words))
+        assert explicit.any() and abs((left * root * 10 ** np.where(explicit, tree.values[k], 0.0)).sum() + left * unknown - 1) < 1e-9
 
 
 def test_suffix_lm_counts_follow_the_corpus(spark):
@@ -167,7 +169,7 @@ def test_suffix_lm_counts_follow_the_corpus(spark):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
     settings = dict(least=8.0)
     got = {x["doc_id"]: (x["base_score"], x["score"]) for x in lm.score(df, **settings).collect()}
-    joined = {x["doc_id"]: x["score"] for x in lm.score(df, tree_share=1e-2, **settings).collect()}
+    joined = {x["doc_id"]: x["score"] for x in lm.score(df, head=20, **settings).collect()}
     assert all(abs(joined[d] - s) < 1e-6 * abs(s) for d, (_, s) in got.items())
     train = [tokens(t) for d, t in docs.items() if zlib.crc32(str(d).encode()) % 5 != 1]
     n = [Counter(tuple(t[i:i + k]) for t in train for i in range(len(t) - k + 1)) for k in range(1, 5)]
