@@ -25,14 +25,17 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT)
         F.monotonically_increasing_id().alias("row")))
 
 
-def parsed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value, _ordinal, v): lines of text and their JSON, NULL where the syntax is broken or it is no object."""
-    v = F.try_parse_json("value")
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value, _ordinal): lines that are not blank."""
     return (spark.read.text(path).filter(F.trim("value") != "")
             .select(F.col("_metadata.file_path").alias("file"), "value",
                     F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                             F.monotonically_increasing_id().alias("row")).alias("_ordinal"),
-                    F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("v")))
+                             F.monotonically_increasing_id().alias("row")).alias("_ordinal")))
+
+
+def object_of(value: Column) -> Column:
+    """The JSON object of a text, NULL where the syntax is broken or it is no object."""
+    return F.when(F.ltrim(value).startswith("{"), F.try_parse_json(value))
 
 
 def lenient(v: str, path: str, kind: T.DataType) -> Column:
@@ -44,20 +47,29 @@ def lenient(v: str, path: str, kind: T.DataType) -> Column:
 
 def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line) of every line that is not a JSON object, for a quarantine table."""
-    return parsed_lines(spark, path).filter("v IS NULL").select("file", F.col("value").alias("line"))
+    return text_lines(spark, path).filter(object_of(F.col("value")).isNull()).select("file", F.col("value").alias("line"))
 
 
 def read_collection(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:
     """Documents by `_id`: lines of broken JSON and documents without an id are left out, and
     of several lines with one id the last wins.
 
-    A value of an unexpected type is cast if it can be and NULL if not; its document stays.
-    Keys of `current` that the schema does not name are kept as text in the map `extra`.
+    A line whose values have the expected types is read in one typed pass.  In any other, a value of an unexpected type is
+    cast if it can be and NULL if not; its document stays.  Keys of `current` that the schema does not name
+    are kept as text in the map `extra`.
     """
     known = F.array(*[F.lit(n) for n in schema["current"].dataType.fieldNames()]) if "current" in schema.fieldNames() else F.array()
-    rest = F.map_filter(F.try_variant_get("v", "$.current", "map<string,string>"), lambda k, _: ~F.array_contains(known, k))
-    usable = parsed_lines(spark, path).filter("v IS NOT NULL").select(
-        "_ordinal", *[lenient("v", f"$.{f.name}", f.dataType).alias(f.name) for f in schema.fields], rest.alias("extra")).filter(filled("_id"))
+    strict = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    typed = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    loose = T.StructType([T.StructField("current", T.MapType(T.StringType(), T.StringType()))])
+    lines = text_lines(spark, path).select("_ordinal", "value", F.from_json("value", typed, strict).alias("t"), F.from_json("value", loose, strict)["current"].alias("all"))
+    # the typed pass also refuses a line for one value; only such lines are parsed a second time, value by value
+    lines = lines.withColumn("v", F.when(F.col("t").isNull() | F.col("t").getField(CORRUPT).isNotNull(), object_of(F.col("value"))))
+    usable = lines.select(
+        "_ordinal", *[F.when(F.col("v").isNull() & F.col("t").getField(CORRUPT).isNull(), F.col("t").getField(f.name))
+                      .otherwise(lenient("v", f"$.{f.name}", f.dataType)).alias(f.name) for f in schema.fields],
+        F.map_filter(F.when(F.col("v").isNull(), F.col("all")).otherwise(F.try_variant_get("v", "$.current", "map<string,string>")),
+                     lambda k, _: ~F.array_contains(known, k)).alias("extra")).filter(filled("_id"))
     body = [f for f in schema.fieldNames() if f != "_id"]
     return (usable.groupBy("_id").agg(F.max_by(F.struct(*body, "extra"), F.col("_ordinal")).alias("d"))
             .select(F.col("_id").alias("doc_id"), "d.*"))

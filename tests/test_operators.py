@@ -111,12 +111,12 @@ def test_diff_rules(spark):
     assert keys((100.0, 1.0, "A"), (None, 2.0, None)) == ["area_sqm"]
 
 
-@pytest.mark.parametrize("chunk", [None, 3600, 7200])
-def test_upsert_of_repeated_keys(spark, chunk):
+@pytest.mark.parametrize("chunk, heavy", [(None, 2), (3600, 2), (7200, 2), (3600, 100)])
+def test_upsert_of_repeated_keys(spark, chunk, heavy):
     """Rows of one listing apply in order, whichever way long chains are cut."""
     rows = [("a", "s", "MT", at(i), float(100 + i // 2), None if i % 3 else 50.0 + i, f"t{i // 4}", i % 5 != 0) for i in range(12)]
-    first = H.upsert_listings(None, spark.createDataFrame(rows[:1], ROW), chunk_seconds=chunk)
-    done = H.upsert_listings(first.state, spark.createDataFrame(rows[1:][::-1], ROW), chunk_seconds=chunk)
+    first = H.upsert_listings(None, spark.createDataFrame(rows[:1], ROW), chunk_seconds=chunk, heavy=heavy)
+    done = H.upsert_listings(first.state, spark.createDataFrame(rows[1:][::-1], ROW), chunk_seconds=chunk, heavy=heavy)
     state = done.state.first()
     assert (state["price_eur"], state["area_sqm"], state["title"], state["first_seen"], state["last_seen"]) == (105.0, 59.0, "t2", at(0), at(11))
     events = [(r["date"].hour, r["event"]) for r in done.events.orderBy("date").collect()]
@@ -124,6 +124,19 @@ def test_upsert_of_repeated_keys(spark, chunk):
     assert tuple(done.counts.first()) == (0, 11)
 
 
+def test_upsert_deals_rows_once(spark):
+    """One exchange and one sort of the steps where no listing is long; long and short listings together give the same."""
+    rows = [(d, "s", "MT", at(i % 20), float(100 + i), None, f"t{i // 3}", True) for i in range(60) for d in (("a",) if i % 2 else ("b", "c"))]
+    batch = spark.createDataFrame(rows, ROW)
+    plan = H.upsert_listings(None, batch, ["price_eur"]).state._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+    whole, cut = (H.upsert_listings(None, batch, ["price_eur"], heavy=n) for n in (1000, 25))
+    for part in ("state", "counts"):
+        assert getattr(whole, part).exceptAll(getattr(cut, part)).count() == 0
+    events = lambda u: u.events.select("doc_id", "date", "event", F.map_keys("changes").alias("k"))
+    assert events(whole).exceptAll(events(cut)).count() == 0 and events(whole).count() == events(cut).count()
+
+
 def test_upsert_twice_changes_nothing(tables):
     batch = tables.batch1.dropDuplicates(["doc_id"]).select("doc_id", "source", "country", F.col("last_seen").cast("timestamp").alias("scraped_at"), "price_eur", "title", "is_active")
     first = H.upsert_listings(None, batch)
