@@ -260,6 +260,7 @@ PAGE_AMENITY_WORDS = {
     "has_elevator": ["lift", "elevator"],
     "has_balcony": ["balcony", "terrace"],
 }
+AGENCY_PHOTO_PATH = "/wp-content/plugins/property-market/files/"
 API_DETAIL_AMENITY_WORDS = {
     "has_balcony": ["balcony", "terrace"],
     "has_pool": ["pool"],

@@ -110,10 +110,16 @@ SELECT doc_id AS page_id, ok, pk, p, a, title,
     '</h1><div class="readmore-wrapper">A flat of ', CAST(30 + pk % 70 AS VARCHAR), ' sqm with terrace</div><div class="item-details"><span class="item"><b>Property Type:</b> <span>', class_type,
     '</span></span><span class="item"><b>Locality:</b><span>', locality, '</span></span><span class="item"><label>Bedrooms:</label><span>', CAST(pk % 5 AS VARCHAR), ' beds</span></span><span class="item"><b>Level of Finish:</b><span>', COALESCE(condition_text, ''),
     '</span></span><span class="item"><b>Pool:</b><span>', CASE WHEN ok % 2 = 0 THEN 'No' ELSE 'Communal' END, '</span></span>',
-    CASE WHEN a IS NULL THEN '' ELSE concat('<span class="item"><b>Size:</b><span>', CAST(a AS VARCHAR), '</span></span>') END, '</div><p>', CASE WHEN ok % 3 = 0 THEN 'with LIFT' ELSE 'garage' END, '</p>') AS classified_html,
+    CASE WHEN a IS NULL THEN '' ELSE concat('<span class="item"><b>Size:</b><span>', CAST(a AS VARCHAR), '</span></span>') END, '</div><p>', CASE WHEN ok % 3 = 0 THEN 'with LIFT' ELSE 'garage' END, '</p>',
+    CASE WHEN ok % 2 = 0 THEN concat('<a class="pic fancybox" href="/asset/p', CAST(ok AS VARCHAR), '.jpg"></a><a data-fancybox="g" href="/asset/p', CAST(ok AS VARCHAR),
+      '.jpg"></a><a class="fancybox" href="https://img.example.org/asset/z.jpg?a=1&amp;b=2"></a><a class="fancybox" href="/other.jpg"></a>') ELSE '' END,
+    '<img src="/asset/itemphotos/q', CAST(pk AS VARCHAR), '.jpg"><img src="/logo.png"><div class="header username"> Seller ', CAST(pk % 50 AS VARCHAR), ' </div>') AS classified_html,
   concat('<html><script>var price="€ 1";</script><h1>', CAST(1 + pk % 4 AS VARCHAR), ' Bedroom ', CASE pk % 4 WHEN 0 THEN 'Penthouse' WHEN 1 THEN 'Bungalow' WHEN 2 THEN 'Flat' ELSE 'Townhouse' END,
     ' For Sale in ', locality, '</h1>', CASE WHEN p IS NULL THEN '<h2>call us</h2>' ELSE concat('<h2>€ ', CAST(thousands AS VARCHAR), ',', lpad(CAST(p % 1000 AS VARCHAR), 3, '0'), '</h2>') END,
     '<p>Short.</p><p>', title, ' ', repeat('long text with garden ', 6), '</p><p>', repeat('cookie notice ', 20), '</p><ul><li>Size: ', CASE WHEN a IS NULL THEN 'n/a' ELSE CAST(a AS VARCHAR) END,
-    ' sqm</li><li>Bathrooms: ', CAST(1 + pk % 3 AS VARCHAR), '</li><li>Ref: AB', CAST(ok AS VARCHAR), '</li><li>Floor: ', CAST(pk % 9 AS VARCHAR), '</li><li>Year Built: ', CAST(1950 + pk % 70 AS VARCHAR), '</li></ul></html>') AS agency_html
+    ' sqm</li><li>Bathrooms: ', CAST(1 + pk % 3 AS VARCHAR), '</li><li>Ref: AB', CAST(ok AS VARCHAR), '</li><li>Floor: ', CAST(pk % 9 AS VARCHAR), '</li><li>Year Built: ', CAST(1950 + pk % 70 AS VARCHAR), '</li></ul>',
+    '<img src="/wp-content/plugins/property-market/files/', CAST(ok AS VARCHAR), '_thumb.jpg"><img src="/theme.png">',
+    CASE WHEN ok % 2 = 0 THEN concat('<img src="https://example.org/wp-content/plugins/property-market/files/', CAST(ok AS VARCHAR), '.jpg">') ELSE '' END,
+    '<p><strong>Bold</strong></p><p>Marketed by: <strong>Ann ', CAST(pk % 10 AS VARCHAR), '</strong></p><a href="/call">x</a><a href="tel: +356 21', CAST(pk % 10 AS VARCHAR), '">call</a></html>') AS agency_html
 FROM texts
 """
