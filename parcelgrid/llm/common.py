@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _made: list[list[str]] = []
 
 
@@ -36,15 +36,18 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage without a second run of it.
 
-    Nothing reads the shuffles of the write again, so Spark is told to delete their files when it ends.
+    Nothing reads the shuffles of the write again, so Spark is told to delete their files when it ends.  Texts go to Python
+    a few megabytes at a time, as batches are held outside the heap, and twice where pairs of texts are compared.
     """
     path, conf = fresh_path(df.sparkSession, name), df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    before = {k: conf.get(k, None) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            conf.set(k, v)
         df.write.parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     if _made:
         _made[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

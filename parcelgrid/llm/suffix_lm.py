@@ -26,7 +26,7 @@ END = np.array([0x5EED0E4D], dtype=U)
 STEP = U(0x9E3779B97F4A7C15)
 
 
-HEAD = 1 << 18  # words, and sequences, that are broadcast at most
+HEAD = 1 << 20  # words, and sequences, that are broadcast at most
 
 
 @dataclass
@@ -36,6 +36,7 @@ class Tree:
     roots: np.ndarray
     sequences: np.ndarray
     values: np.ndarray
+    marks: np.ndarray       # a filter over all sequences that have a value
     rest: DataFrame | None  # (key, value): log10 values of all other sequences
 
 
@@ -140,8 +141,7 @@ def keyed(pairs: DataFrame) -> DataFrame:
 
 
 def grown(texts: DataFrame, before: DataFrame, depth: int, least: float) -> DataFrame:
-    """(context of `depth` words, next symbol) of at least `least` occurrences, with the context's suffix (one word fewer) and
-    its own number of occurrences (`times`).
+    """(context of `depth` words, next symbol) of at least `least` occurrences.
 
     Both its first and its last `depth` words must be among the sequences of `before`; a filter sorts out most others.
     """
@@ -155,9 +155,13 @@ def grown(texts: DataFrame, before: DataFrame, depth: int, least: float) -> Data
         at = at[passing(known.value, last[at])]
         return whole[at], last[at - 1], h[at]
 
-    counts = counted(texts, pick, ["context", "word"]).filter(F.col("n") >= least)
+    return counted(texts, pick, ["context", "word"]).filter(F.col("n") >= least)
+
+
+def described(pairs: DataFrame, before: DataFrame) -> DataFrame:
+    """Pairs with the context's suffix (one word fewer) and its own number of occurrences (`times`)."""
     states = before.select(F.col("key").alias("context"), F.col("under").alias("suffix"), F.col("n").alias("times"))
-    return save(keyed(counts.join(states, "context")), "pairs")
+    return save(keyed(pairs.join(states, "context")), "pairs")
 
 
 def most_frequent(rows: DataFrame, head: int) -> Column:
@@ -182,18 +186,22 @@ def gathered(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndar
 
 def train(texts: DataFrame, depth: int = 3, ratio: float = 1.3, pull: float = 20.0, least: float = 16.0, head: int = HEAD) -> tuple[DataFrame, Tree, int, int]:
     """Word counts (word, n) of all training texts, the tree, and the numbers of tokens and of distinct ones."""
-    def words_(h, first):
-        return h, h
+    least = max(2.0, least)
 
-    vocabulary = save(counted(texts, words_, ["word"]), "vocabulary")
+    def words_and_pairs(h, first):
+        one, two = sequences(h, first, 2)
+        at = np.flatnonzero(two)
+        return np.concatenate([one, two[at]]), np.concatenate([np.full(len(h), U(1)), one[at - 1]]), np.concatenate([h, h[at]])
+
+    counts = save(counted(texts, words_and_pairs, ["context", "word"]).filter((F.col("context") == 1) | (F.col("n") >= least)), "counts")
+    vocabulary = counts.filter("context = 1").select("word", "n")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     size = total + 0.5 * (distinct + 1)
-    least = max(2.0, least)
     root = vocabulary.filter(F.col("n") >= least).select(F.lit(1).cast("long").alias("context"), "word", F.lit(1).cast("long").alias("suffix"), "n")
     before = save(keyed(root).withColumn("under", F.lit(1).cast("long")).withColumn("p", (F.col("n") + 0.5) / F.lit(size)), "sequences")
     levels: list[DataFrame] = []
     for d in range(1, depth + 1):  # `before`: sequences of d words (key, n, p, under: the hash without the first word)
-        pairs = grown(texts, before, d, least)
+        pairs = described(counts.filter("context <> 1") if d == 1 else grown(texts, before, d, least), before)
         sizes = (pairs.groupBy("context").agg(F.sum("n").alias("explicit"), F.first("times").alias("t"))
                  .select("context", (F.col("t") + pull).alias("size"), ((F.col("t") + pull - F.col("explicit")) / (F.col("t") + pull)).alias("left")))
         share = F.col("n") / F.col("size")
@@ -214,10 +222,11 @@ def train(texts: DataFrame, depth: int = 3, ratio: float = 1.3, pull: float = 20
     frequent = most_frequent(values, head)
     words, n = gathered(vocabulary.filter(most_frequent(vocabulary, head)), "word", "n")
     keys, gains = gathered(values.filter(frequent), "key", "value")
-    return vocabulary, Tree(words, np.log10((n + 0.5) / size), keys, gains, values.filter(~frequent).select("key", "value")), int(total), int(distinct)
+    return (vocabulary, Tree(words, np.log10((n + 0.5) / size), keys, gains, filter_of(values), values.filter(~frequent).select("key", "value")),
+            int(total), int(distinct))
 
 
-def looked_up(tree: Tree, marks: np.ndarray, h: np.ndarray, first: np.ndarray, depth: int):
+def looked_up(tree: Tree, h: np.ndarray, first: np.ndarray, depth: int):
     """For each token whether it is a head word, its log10 root probability and that with the head's sequences that end there; then
     all other sequences that may have a value, and the tokens they end with.
 
@@ -228,10 +237,10 @@ def looked_up(tree: Tree, marks: np.ndarray, h: np.ndarray, first: np.ndarray, d
     model, found, ends = base.copy(), [], []
     for x in sequences(h, first, depth + 1):
         place = np.flatnonzero(x)
+        place = place[passing(tree.marks, x[place])]
         k, hit = member(tree.sequences, x[place])
         model[place[hit]] += tree.values[k[hit]]
         place = place[~hit]
-        place = place[passing(marks, x[place])]
         found.append(x[place])
         ends.append(place)
     return known, base, model, np.concatenate(found), np.concatenate(ends)
@@ -264,7 +273,7 @@ def score(docs: DataFrame, depth: int = 3, **settings) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), bytes_of().alias("text"))
     vocabulary, tree, total, distinct = train(texts.filter(~held_out(F.col("doc_id"))), depth=depth, **settings)
     rest, tree.rest = tree.rest, None
-    shared = spark.sparkContext.broadcast((tree, filter_of(rest)))
+    shared = spark.sparkContext.broadcast(tree)
     size = total + 0.5 * (distinct + 1)
 
     def run(batches):
@@ -272,7 +281,7 @@ def score(docs: DataFrame, depth: int = 3, **settings) -> DataFrame:
             data, offsets = binary(batch.column("text"))
             for i, j, part, bounds in blocks(data, offsets):
                 h, first = tokens(part, bounds)
-                head, base, model, keys, ends = looked_up(*shared.value, h, first, depth)
+                head, base, model, keys, ends = looked_up(shared.value, h, first, depth)
                 words_ = np.flatnonzero(~head)
                 doc = np.repeat(np.arange(j - i), np.diff(first))
                 add = lambda x: np.bincount(doc, weights=x, minlength=j - i)  # noqa: B023, E731
