@@ -69,12 +69,13 @@ def bitmap(ids: DataFrame, column: str, bits: int = 24) -> dict[int, bytes]:
     return {r["b"]: bytes(r["m"]) for r in rows}
 
 
-def in_bitmap(column: str, blocks: dict[int, bytes], spark: SparkSession, df: DataFrame, bits: int = 24) -> DataFrame:
-    """Rows whose hashed id may be among those of `blocks`."""
+def in_bitmap(column: str, blocks: dict[int, bytes], spark: SparkSession, df: DataFrame, bits: int = 24, inside: bool = True) -> DataFrame:
+    """Rows whose hashed id may be among those of `blocks`, or those whose id is surely not."""
     marks = spark.createDataFrame([(b, bytearray(m)) for b, m in sorted(blocks.items())], "b long, m binary")
     slot = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
     at = F.bitmap_bit_position(F.col("_slot")).cast("int")
     byte = F.conv(F.hex(F.substring("m", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     held = (byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_slot) % 8 as int))")) != 0)
     return (df.withColumn("_slot", slot).withColumn("_block", F.bitmap_bucket_number("_slot"))
-            .join(F.broadcast(marks), F.col("_block") == F.col("b")).filter(held).drop("_slot", "_block", "b", "m"))
+            .join(F.broadcast(marks), F.col("_block") == F.col("b"), "inner" if inside else "left")
+            .filter(held if inside else ~F.coalesce(held, F.lit(False))).drop("_slot", "_block", "b", "m"))
