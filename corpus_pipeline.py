@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelgrid.llm import decontamination, packing, parity_join, pii, toxicity
-from parcelgrid.llm.common import save, scratch, table
+from parcelgrid.llm.common import bitmap, in_bitmap, save, scratch, table
 from parcelgrid.llm.queries import vocabulary_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,8 +31,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     linked = save(groups.join(several, "component_id").join(rows.select("row", "doc_id").distinct(), "row"), "pipeline_linked")
     first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("kept")).select("kept.row")
     lost, again = linked.join(first, "row", "left_anti").select("row"), linked.join(first, "row").filter("times > 1").select("row")
-    once = rows.join(lost.union(again), "row", "left_anti")
-    return once.unionByName(rows.join(again, "row", "left_semi").dropDuplicates(["row"])).select(*COLUMNS)
+    # a filter of bounded size tells most rows that stay; only the others are shuffled
+    marks = bitmap(lost.union(again), "row")
+    held = in_bitmap("row", marks, spark, rows)
+    kept = in_bitmap("row", marks, spark, rows, inside=False).unionByName(held.join(lost.union(again), "row", "left_anti"))
+    if not again.isEmpty():
+        kept = kept.unionByName(held.join(again, "row", "left_semi").dropDuplicates(["row"]))
+    return kept.select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
