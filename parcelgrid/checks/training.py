@@ -121,7 +121,7 @@ WHERE p.country_id = 1 AND price_adjusted_eur > 0 AND lat IS NOT NULL AND lon IS
 
 def artifacts(t):
     """One artifact row per listing: its title is the model, its date the version."""
-    kind = F.expr("CASE ok % 4 WHEN 0 THEN 'boosted' WHEN 1 THEN 'forest' WHEN 2 THEN 'encoders' ELSE 'meta' END")
+    kind = F.expr("CASE ok % 4 WHEN 0 THEN 'boosted' WHEN 1 THEN 'second' WHEN 2 THEN 'encoders' ELSE 'meta' END")
     return t.listings.select(F.col("title").alias("model"), F.concat(F.lit("v"), F.date_format("first_seen", "yyyy")).alias("version"), kind.alias("kind"))
 
 

@@ -1,6 +1,8 @@
 """Estimates, bands, models and composite jobs."""
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from parcelgrid.checks.market import r
@@ -9,9 +11,11 @@ from parcelgrid.checks.registry import AS_OF, query
 from parcelgrid.checks.spatial import DENSITY_AS_OF, priced_properties
 from parcelgrid.functions.common import round_even
 from parcelgrid.functions.responses import with_text_features
+from parcelgrid.functions.scalar import detect_country_from_coords
 from parcelgrid.operators import valuation as V
 from parcelgrid.plans import model as MO
 from parcelgrid.plans import pipelines as PL
+from parcelgrid.plans.features import feature_names
 from parcelgrid.session import fresh_path, materialize
 
 # --- Scoring expressions -----------------------------------------------------------------------------
@@ -67,13 +71,8 @@ def _report(t):
 
 
 # --- Model jobs: rows only ------------------------------------------------------------------------------------
-SMALL = dict(trees=8, depth=5)
-COLUMNS = ["lat", "lon", "area_sqm", "area_sqm_log", "bedrooms", "dist_coast_km", "dist_cbd_km", "dist_school_km", "dist_restaurant_km", "poi_count_500m",
-           "rental_density_2km", "llm_condition", "llm_quality_tier", "llm_construction_status", "locality_enc"]
-
-
 def located_pois(t):
-    return t.pois.withColumn("country", F.lit("MT"))
+    return t.pois.withColumn("country", F.coalesce(detect_country_from_coords("lat", "lon"), F.lit("MT")))
 
 
 def populations(t):
@@ -90,7 +89,7 @@ def matrix(t, deal):
 
 query("build_features")(lambda t: matrix(t, "sale"))
 def trained(t, deal="rent"):
-    return MO.train_cv(materialize(matrix(t, deal)), COLUMNS, **SMALL)
+    return MO.train_cv(materialize(matrix(t, deal)), feature_names())
 
 
 query("train_cv")(lambda t: trained(t).metrics)
@@ -99,8 +98,8 @@ query("monotonicity_check")(lambda t: _monotone(t))
 
 def _monotone(t):
     m = materialize(matrix(t, "sale"))
-    model = MO.train_cv(m, COLUMNS, k=2, **SMALL)
-    return MO.monotonicity_check(m, COLUMNS, model.boosted, model.forest)
+    model = MO.train_cv(m, feature_names(), objective="huber", monotone=True)
+    return MO.monotonicity_check(m, feature_names(), model.boosted, model.second)
 
 
 def mean_error(model):
@@ -110,16 +109,17 @@ def mean_error(model):
 
 def _registry(t):
     root = fresh_path(t.spark, "models")
-    for version, k in (("v1", 2), ("v2", 3)):
-        model = MO.train_cv(materialize(matrix(t, "rent")), COLUMNS, k=k, **SMALL)
-        MO.register_model(t.spark, root, "apartment_rent", version, model, mean_error(model), None)
+    rows = materialize(matrix(t, "rent"))
+    for version, objective, day in (("v9", "l2", 1), ("v10", "l1", 2)):
+        model = MO.train_cv(rows, feature_names(), objective=objective)
+        MO.register_model(t.spark, root, "apartment_rent", version, model, mean_error(model), datetime(2026, 6, day))
     rows = t.spark.read.schema(MO.REGISTRY).parquet(f"{root}/_registry")
     return MO.model_registry(rows, "apartment_rent").select("version", "kind", "mape")
 
 
 query("model_registry")(_registry)
 query("rental_yields")(
-    lambda t: PL.rental_yields(t.listings, AS_OF, located_pois(t), populations(t), run_features(t), columns=COLUMNS, k=2, **SMALL)
+    lambda t: PL.rental_yields(t.listings, AS_OF, located_pois(t), populations(t), run_features(t))
     .select("doc_id", "locality", "price_eur", "predicted_rent", "gross_yield"))
 
 
@@ -131,12 +131,11 @@ def valuation_requests(t):
 
 
 def score_requests(t, requests, models):
-    return PL.batch_valuation(requests, {deal: (m, mean_error(m)) for deal, m in models.items()}, t.centroids, located_pois(t), [c for c in COLUMNS if c != "rental_density_2km"])
+    return PL.batch_valuation(requests, {deal: (m, mean_error(m)) for deal, m in models.items()}, t.centroids, located_pois(t), feature_names(serve_consistent=True))
 
 
 def _valued(t):
-    columns = [c for c in COLUMNS if c != "rental_density_2km"]
-    models = {deal: MO.train_cv(materialize(matrix(t, deal)), columns, k=2, **SMALL) for deal in ("sale", "rent")}
+    models = {deal: MO.train_cv(materialize(matrix(t, deal)), feature_names(serve_consistent=True)) for deal in ("sale", "rent")}
     return score_requests(t, valuation_requests(t), models)
 
 

@@ -184,7 +184,7 @@ def read_sql_training(properties: DataFrame, countries: DataFrame, regions: Data
     return joined.select(*[col_or_null(joined, c, SQL_TRAINING_TYPES.get(c, "double")).alias(c) for c in SQL_TRAINING_COLUMNS], "region_name")
 
 
-ARTIFACT_KINDS = ("boosted", "forest", "encoders", "meta")
+ARTIFACT_KINDS = ("boosted", "second", "encoders", "meta")
 
 
 def complete_versions(artifacts: DataFrame, kinds: Sequence[str] = ARTIFACT_KINDS,

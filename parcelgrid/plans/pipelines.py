@@ -92,7 +92,7 @@ def rental_yields(docs: DataFrame, as_of, pois: DataFrame, populations: DataFram
     if city:
         sales = sales.filter(F.lower("locality").contains(city.lower()))
     sales = materialize(sales)
-    scored = predict_log(sales, columns, rent_model.boosted, rent_model.forest)
+    scored = predict_log(sales, columns, rent_model.boosted, rent_model.second)
     rent = V.ensemble_predict("log_a", "log_b")
     scored = scored.withColumn("predicted_rent", rent).withColumn("gross_yield", Y.gross_yield("predicted_rent", "price_eur"))
     if investable:
@@ -170,7 +170,7 @@ def _valued(requests: DataFrame, model: Trained, mape: float, centroids: DataFra
             columns: list[str] | None, version: str) -> DataFrame:
     columns = columns or feature_names(serve_consistent=True)
     ready = request_features(requests, centroids, pois)
-    scored = predict_log(ready, columns, model.boosted, model.forest)
+    scored = predict_log(ready, columns, model.boosted, model.second)
     raw = V.ensemble_predict("log_a", "log_b", country="country")
     out = scored.withColumn("raw_estimate", raw)
     band = V.valuation_band("raw_estimate", F.lit(mape / 100), F.size("missing_features"))
