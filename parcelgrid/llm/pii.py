@@ -28,13 +28,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WIDE = {
-    "secret": re.compile(r"\b(?:AKIA[0-9A-Z]{12,20}|gh[pousr]_[A-Za-z0-9]{20,60}|(?<==)[A-Za-z0-9_-]{8,128}|(?<== [\"'])[A-Za-z0-9_-]{8,128})(?![A-Za-z0-9_-])"),
+    "secret": re.compile(r"\b(?:AKIA[0-9A-Z]{12,20}|gh[pousr]_[A-Za-z0-9]{20,60}|(?:(?<=[=:])|(?<=[=:] )|(?<=[=:][\"'])|(?<=[=:] [\"']))[A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])"),
     "spelled_email": re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?[\[(]? ?at ?[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]? ?dot ?[\])]? ?[A-Za-z]{2,24}\b"),
     "local_phone": re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
 }
-HINT = {"secret": "=", "spelled_email": "dot", "local_phone": None, "ssn": "-", "iban": None}
+HINT = {"ssn": ("-",), "iban": (), "local_phone": (), "spelled_email": ("dot",), "secret": ("=", ":", "AKIA", "gh")}  # in order of search
 GAZETTEER = {
     "secret": ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "key", "credential"),
     "spelled_email": ("mail", "contact", "reach", "write"),
@@ -94,9 +94,8 @@ def _part(p: str) -> bool:
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, tuple[int, ...], tuple]]:
     """(kind, start, end, votes, features) of wide matches that touch no base span and no earlier candidate."""
     taken, out = None, []
-    for kind in ADDED:
-        hint = HINT[kind]
-        if hint and hint not in text and not (kind == "secret" and ("AKIA" in text or "gh" in text)):
+    for kind, hints in HINT.items():
+        if hints and not any(h in text for h in hints):
             continue
         for m in WIDE[kind].finditer(text):
             s, e = m.span()
@@ -123,7 +122,7 @@ def votes(kind: str, text: str, s: int, e: int) -> tuple[int, int, int, int]:
     if kind == "secret":
         known = body.startswith(("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_"))
         mixed = n >= 2 and any(c.isalpha() for c in body)
-        return (1 if known else 0, gazetteer, 1 if around[0] in "=\"' \n" and mixed else -1, 1 if mixed and entropy(body) > 2.5 else -1)
+        return (1 if known else 0, gazetteer, 1 if around[0] in "=:\"' \n" and mixed else -1, 1 if mixed and entropy(body) > 2.5 else -1)
     if kind == "spelled_email":
         marked = sum(c in "[(" for c in body)
         return (1 if marked >= 2 else -1 if not marked else 0, gazetteer, 1 if marked else -1, 0)
@@ -212,7 +211,7 @@ def train(docs: DataFrame) -> np.ndarray:
 def spans_of(text: str, weights: np.ndarray) -> tuple[dict, list[tuple[str, int, int]]]:
     base = base_spans(text)
     spans = [(k, s, e) for k in BASE for s, e in base[k]]
-    more = [(k, s, e) for k, s, e, v, f in candidates(text, base) if sum(v) > 0 and design(k, v, f) @ weights > 0]
+    more = [(k, s, e) for k, s, e, v, f in candidates(text, base) if design(k, v, f) @ weights > 0]
     return base, spans + sorted(more, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
@@ -221,7 +220,11 @@ def written(spans) -> str:
 
 
 def find(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """A row for each document: counts of base kinds, hash of base spans, and all spans; null and empty texts have none."""
+    """A row for each document: counts of base kinds, hash of base spans, and all spans.
+
+    Null and empty texts have none; rows with equal or null ids are rows of their own; a span within another of a different
+    base kind counts for both, added spans touch no other; columns beside doc_id and text are not looked at.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
@@ -252,7 +255,7 @@ def masked(text: str, spans) -> str:
 
 
 def redact(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """`docs` with all columns, personal data in `text` replaced by its kind; null texts stay null."""
+    """`docs` with all its columns and rows, repeated ones too, personal data in `text` replaced by its kind; null texts stay null."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("string")

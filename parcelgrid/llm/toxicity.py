@@ -63,17 +63,31 @@ def sentence_scores(model: Model, hashes, sentence, n: int) -> np.ndarray:
 
 
 def document_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(offsets) - 1)
+    """Noisy-or of the sentences of each document."""
+    return located(model, data, offsets)[0]
+
+
+def located(model: Model, data: np.ndarray, offsets: np.ndarray, least: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Score of each document, its number of sentences that score `least` or more by themselves, and of the sentence that scores
+    highest (the first of equals) the bytes it spans, first word to the next sentence, and its score; -1 without words."""
+    n_docs = len(offsets) - 1
+    out, many, start_, end_, top = np.zeros(n_docs), np.zeros(n_docs, np.int64), np.full(n_docs, -1), np.full(n_docs, -1), np.full(n_docs, -1.0)
     for i, j, part, bounds in blocks(data, offsets):
-        hashes, _, sentence, doc, per_doc = sentence_words(part, bounds)
+        hashes, start, sentence, doc, _ = sentence_words(part, bounds)
         n = int(sentence[-1]) + 1 if len(sentence) else 0
-        z = softplus(sentence_scores(model, hashes, sentence, n))
+        raw = sentence_scores(model, hashes, sentence, n)
+        z, p = softplus(raw), 1 / (1 + np.exp(-raw))
         first = np.concatenate([[0], np.flatnonzero(sentence[1:] != sentence[:-1]) + 1]) if n else np.zeros(0, np.int64)
-        total = np.bincount(doc[first], weights=z, minlength=j - i) if n else np.zeros(j - i)
-        worded = np.bincount(doc[first], minlength=j - i) > 0 if n else np.zeros(j - i, bool)
+        of = doc[first] if n else np.zeros(0, np.int64)
+        total, worded = np.bincount(of, weights=z, minlength=j - i), np.bincount(of, minlength=j - i) > 0
         total[~worded] = softplus(model.bias)
         out[i:j] = -np.expm1(-total)
-    return out
+        many[i:j] = np.bincount(of[p >= least], minlength=j - i)
+        best = np.lexsort((first, -raw, of))
+        best = best[np.concatenate([[True], of[best][1:] != of[best][:-1]])] if n else best
+        ends = np.minimum(np.append(start[first[1:]], len(part)) if n else first, bounds[of + 1])
+        start_[i + of[best]], end_[i + of[best]], top[i + of[best]] = start[first[best]] - bounds[of[best]], ends[best] - bounds[of[best]], p[best]
+    return out, many, start_, end_, top
 
 
 def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], weight: tuple[float, float], rounds: int = 300, least_df: int = 5,
@@ -158,17 +172,25 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; null and empty texts score as one sentence without known words."""
+    """doc_id, held_out, score, predicted for every row, and where: the number of sentences that score at least 0.5 by themselves,
+    and start and end (bytes) and score of the one that scores highest.
+
+    Null and empty texts score as one sentence without known words, and have no such span; rows with equal or null ids are
+    rows of their own.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(document_scores(shared.value, *binary(batch.column("text"))))],
-                                             names=["doc_id", "score"])
+            out, many, start, end, top = located(shared.value, *binary(batch.column("text")))
+            none = start < 0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), pa.array(many), pa.array(start, mask=none), pa.array(end, mask=none), pa.array(top, mask=none)],
+                                             names=["doc_id", "score", "n_offending", "worst_start", "worst_end", "worst_score"])
 
-    return (docs.select(F.col("doc_id").cast("long"), bytes_of().alias("text")).mapInArrow(run, "doc_id long, score double")
-            .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                    (F.col("score") >= 0.5).cast("int").alias("predicted")))
+    return (docs.select(F.col("doc_id").cast("long"), bytes_of().alias("text"))
+            .mapInArrow(run, "doc_id long, score double, n_offending long, worst_start long, worst_end long, worst_score double")
+            .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                    "n_offending", "worst_start", "worst_end", "worst_score"))
 
 
 def flagged(docs: DataFrame, model: Model, keep_flagged: bool = False) -> DataFrame:

@@ -239,6 +239,10 @@ def test_warc_fixity(spark):
     replica = spark.createDataFrame(other, "page_id long, url string, html string")
     got = {(r["page_id"], r["kind"]): r for r in audit(pages, replica).collect()}
     assert set(got) == {(100, "missing"), (5000, "extra"), (other[1234][0], "changed")}
+    low = [(-(1 << 63), "u", "a"), ((1 << 63) - 1, "u", "b"), (-1, "u", "c"), (None, "u", "d"), (None, "u", "d")]
+    kinds = lambda a, b: sorted((str(r["page_id"]), r["kind"]) for r in audit(*(spark.createDataFrame(x, pages.schema.simpleString()[7:-1].split(",node")[0].replace(":", " ")) for x in (a, b))).collect())
+    assert kinds(low, low) == [] and kinds(low, low[:2] + low[3:]) == [("-1", "missing")]
+    assert kinds(low, low[1:4] + [(None, "u", "e")]) == sorted([("-9223372036854775808", "missing"), ("None", "changed")])
     sizes = lambda x: len(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <page:{x[0]}>\r\nWARC-Target-URI: {x[1]}\r\nContent-Length: {len(x[2])}\r\n\r\n{x[2]}\r\n\r\n")
     ordered = sorted([r for r in rows if r[0] is not None and r[0] < 100])
     assert got[100, "missing"]["offset"] == sum(map(sizes, ordered))
@@ -401,6 +405,43 @@ def test_personal_data_edges():
     w = pii.classifier([(*k, n) for k, n in rows.items()], pii.reliabilities([(*k, n) for k, n in counted.items()]))
     assert all(len(pii.spans_of(t, w)[1]) == 2 for t in secrets)
     assert pii.spans_of("width=fullscreen and look at the dot in it", w)[1] == []
+    key = hashlib.sha512(b"k").hexdigest() * 2  # 256 characters
+    for text in (f"password: {key} end", f"token:\"{key}\"", f"secret = '{key}'"):
+        at = text.index(key)
+        assert ("secret", at, at + len(key)) in pii.spans_of(text, w)[1]
+    assert [k for k, *_ in pii.candidates("ssn: 123-45-6789 and call: 555-123-4567", {})] == ["ssn", "local_phone"]
+
+
+def test_redacting_keeps_rows(repeats):
+    from parcelgrid.llm import pii
+    more = repeats.union(repeats.filter("doc_id = 13"))
+    out = pii.redact(more, pii.train(more))
+    assert out.columns == more.columns and out.count() == more.count()
+    kept = [r["text"] for r in out.filter("doc_id = 13").collect()]
+    assert len(kept) == 2 and kept[0] == kept[1] and "[EMAIL]" in kept[0] and "[CARD]" in kept[0] and "a.b@c.de" not in kept[0]
+    assert out.filter("text is null").count() == more.filter("text is null").count()
+
+
+def noisy_or(model, docs, toxicity):
+    """Scores of whole documents and of their sentences against a plain noisy-or over split texts."""
+    from parcelgrid.llm.hashing import prefix_hash, span_hash
+    weights = dict(zip(model.words.tolist(), model.weights.tolist()))
+
+    def word_hash(w):
+        data = np.frombuffer(lower(w).encode(), np.uint8)
+        return int(span_hash(prefix_hash(data), np.array([0]), np.array([len(data)]))[0])
+
+    rows = sorted(toxicity.score(docs, model).collect(), key=lambda r: (r["doc_id"], r["score"]))
+    texts = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: r[0])
+    for r, (d, t) in zip(rows, texts):
+        parts = [p for p in re.split(r"[\n!.?]", t) if re.search(r"[0-9A-Za-z\x80-\U0010ffff]", p)]
+        odds = [model.bias + sum(weights.get(word_hash(w), 0.0) for w in {lower(w) for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", p)}) for p in parts]
+        p = [1 / (1 + math.exp(-z)) for z in odds] or [1 / (1 + math.exp(-model.bias))]
+        assert r["doc_id"] == d and abs(r["score"] - (1 - math.prod(1 - x for x in p))) < 1e-9
+        assert r["n_offending"] == sum(x >= 0.5 for x in p if odds) and (r["worst_score"] is None) == (not odds)
+        if odds:
+            worst = t.encode()[r["worst_start"]:r["worst_end"]].decode("utf-8", "replace")
+            assert abs(r["worst_score"] - max(p)) < 1e-9 and re.search(r"[0-9A-Za-z\x80-\U0010ffff].*", parts[p.index(max(p))], re.S)[0][:20] in worst
 
 
 def test_toxicity(spark, given, awkward, empty):
@@ -414,6 +455,8 @@ def test_toxicity(spark, given, awkward, empty):
     pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
     auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
     assert auc > 0.75, auc
+    noisy_or(model, docs.limit(300), toxicity)
+    noisy_or(model, awkward, toxicity)
     spans = toxicity.offending(docs, model).collect()
     assert spans and all(0 <= s["start"] < s["end"] for s in spans)
     bad = spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 0), (99, 1)], "doc_id long, toxic int")
