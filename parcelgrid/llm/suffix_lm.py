@@ -62,9 +62,16 @@ def sequences(h: np.ndarray, first: np.ndarray, longest: int) -> list[np.ndarray
 
 
 def member(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
+    """Place of each x in a sorted table, and whether it is there; equal ones are looked up once, in order."""
+    if not len(table) or not len(x):
         return np.zeros(len(x), np.int64), np.zeros(len(x), dtype=bool)
-    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    order = np.argsort(x)
+    s = x[order]
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = s[1:] != s[:-1]
+    found = np.minimum(np.searchsorted(table, s[new]), len(table) - 1)
+    at = np.empty(len(x), np.int64)
+    at[order] = found[np.cumsum(new) - 1]
     return at, table[at] == x
 
 
@@ -73,39 +80,39 @@ def held_out(doc_id: Column) -> Column:
 
 
 def counted(texts: DataFrame, pick, columns: list[str]) -> DataFrame:
-    """Sums over all texts of what `pick(tokens, first)` yields, an array by which equal rows come together and arrays for
-    `columns`; merged per task before the shuffle."""
+    """Sums over all texts of what `pick(tokens, first)` yields: groups of an array by which equal rows come together and arrays for
+    `columns`; each group is merged per task before the shuffle."""
+    def merged(held):
+        order, *keys, weights = (np.concatenate([x[i] for x in held]) for i in range(len(columns) + 2))
+        at = np.argsort(order)
+        order, weights, keys = order[at], weights[at], [k[at] for k in keys]
+        new = np.ones(len(at), dtype=bool)
+        if len(at):
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        first = np.flatnonzero(new)
+        return [order[first], *(k[first] for k in keys), np.add.reduceat(weights, first) if len(first) else weights]
+
     def run(batches):
-        held, size = [], 0
-
-        def flush():
-            order, *keys, weights = (np.concatenate([x[i] for x in held]) for i in range(len(columns) + 2))
-            at = np.argsort(order)
-            order, weights, keys = order[at], weights[at], [k[at] for k in keys]
-            new = np.ones(len(at), dtype=bool)
-            if len(at):
-                new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-            first = np.flatnonzero(new)
-            return [order[first], *(k[first] for k in keys), np.add.reduceat(weights, first) if len(first) else weights]
-
-        def emit(merged):
-            for cut in range(0, max(1, len(merged[0])), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[cut:cut + 50_000].view(np.int64)) for a in merged[1:]], names=[*columns, "n"])
+        held: dict[int, list] = {}
+        size: dict[int, int] = {}
+
+        def emit(rows):
+            for cut in range(0, len(rows[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[cut:cut + 50_000].view(np.int64)) for a in rows[1:]], names=[*columns, "n"])
 
         for batch in batches:
             for _, _, part, bounds in blocks(*binary(batch.column("text"))):
-                found = pick(*tokens(part, bounds))
-                held.append([*found, np.ones(len(found[0]), dtype=np.int64)])
-                size += len(found[0])
-                if size > 2_000_000:
-                    merged = flush()
-                    if len(merged[0]) > 1_000_000:
-                        yield from emit(merged)
-                        held, size = [], 0
-                    else:
-                        held, size = [merged], len(merged[0])
-        if held:
-            yield from emit(flush())
+                for g, found in enumerate(pick(*tokens(part, bounds))):
+                    held.setdefault(g, []).append([*found, np.ones(len(found[0]), dtype=np.int64)])
+                    size[g] = size.get(g, 0) + len(found[0])
+                    if size[g] > 2_000_000:
+                        rows = merged(held[g])
+                        held[g], size[g] = ([], 0) if len(rows[0]) > 1_000_000 else ([rows], len(rows[0]))
+                        if not held[g]:
+                            yield from emit(rows)
+        for rest in held.values():
+            if rest:
+                yield from emit(merged(rest))
 
     schema = ", ".join(f"{c} long" for c in columns) + ", n long"
     return texts.mapInArrow(run, schema).groupBy(*columns).agg(F.sum("n").alias("n"))
@@ -153,7 +160,7 @@ def grown(texts: DataFrame, before: DataFrame, depth: int, least: float) -> Data
         at = np.flatnonzero(whole)
         at = at[passing(known.value, last[at - 1])]
         at = at[passing(known.value, last[at])]
-        return whole[at], last[at - 1], h[at]
+        return [(whole[at], last[at - 1], h[at])]
 
     return counted(texts, pick, ["context", "word"]).filter(F.col("n") >= least)
 
@@ -191,7 +198,7 @@ def train(texts: DataFrame, depth: int = 3, ratio: float = 1.3, pull: float = 20
     def words_and_pairs(h, first):
         one, two = sequences(h, first, 2)
         at = np.flatnonzero(two)
-        return np.concatenate([one, two[at]]), np.concatenate([np.full(len(h), U(1)), one[at - 1]]), np.concatenate([h, h[at]])
+        return (one, np.full(len(h), U(1)), h), (two[at], one[at - 1], h[at])
 
     counts = save(counted(texts, words_and_pairs, ["context", "word"]).filter((F.col("context") == 1) | (F.col("n") >= least)), "counts")
     vocabulary = counts.filter("context = 1").select("word", "n")
