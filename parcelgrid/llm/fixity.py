@@ -23,10 +23,13 @@ def record(page_id: Column, url: Column, body: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """page_id, file_no, offset, length, digest of every record; files hold 1,024 ids, in order of id and digest."""
+    """page_id, known, file_no, offset, length, digest of every record; files hold 1,024 ids, in order of id and digest.
+
+    Records without an id lie beside those of id -1 and share their leaf; `known` tells them apart.
+    """
     key = F.coalesce(F.col("page_id").cast("long"), F.lit(-1))
     r = record(F.col("page_id"), F.col("url"), F.col("html"))
-    slim = pages.select(key.alias("page_id"), F.octet_length(r).cast("long").alias("length"), F.sha2(r.cast("binary"), 256).alias("digest"))
+    slim = pages.select(key.alias("page_id"), F.col("page_id").isNotNull().alias("known"), F.octet_length(r).cast("long").alias("length"), F.sha2(r.cast("binary"), 256).alias("digest"))
     order = Window.partitionBy("file_no").orderBy("page_id", "digest")
     return (slim.withColumn("file_no", F.shiftright("page_id", FILE_BITS))
             .withColumn("offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")))
@@ -61,32 +64,32 @@ def mismatches(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
     for left, right in zip(reversed(a), reversed(b)):
         if bad is not None:
             left, right = (x.join(bad, F.shiftright(x.node, BITS) == bad.bad, "left_semi") for x in (left, right))
-        bad = (left.select("node", "digest").join(right.select("node", F.col("digest").alias("other")), "node", "full_outer")
-               .filter(~F.col("digest").eqNullSafe(F.col("other"))).select(F.col("node").alias("bad")))
+        bad = save(left.select("node", "digest").join(right.select("node", F.col("digest").alias("other")), "node", "full_outer")
+                   .filter(~F.col("digest").eqNullSafe(F.col("other"))).select(F.col("node").alias("bad")), "mismatches")
     return bad
 
 
 def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """Records that differ between two copies: kind 'changed', 'missing' (from the replica) or 'extra', with the offset
-    range in either copy.  Equal copies and two empty tables give no rows; null ids count as id -1."""
+    range in either copy.  Equal copies and two empty tables give no rows; records without an id are compared among themselves
+    and come out with a null id; ids may be any long."""
     first, second = save(records(pages), "records"), save(records(replica), "records")
-    top = first.agg(F.max(F.abs("page_id"))).first()[0] or 0
-    other = second.agg(F.max(F.abs("page_id"))).first()[0] or 0
-    levels = max(1, -(-max(top, other).bit_length() // BITS))
-    bad = save(mismatches(tree(first, levels), tree(second, levels)), "mismatches")
+    ends = [r for recs in (first, second) for r in recs.agg(F.min("page_id"), F.max("page_id")).first() if r is not None]
+    levels = max([1] + [-(-(r if r >= 0 else -(r + 1)).bit_length() // BITS) for r in ends])
+    bad = mismatches(tree(first, levels), tree(second, levels))
 
     def numbered(recs: DataFrame, mark: str) -> DataFrame:
         same = Window.partitionBy("page_id", "digest").orderBy("offset")
         return (recs.join(bad, recs.page_id == bad.bad, "left_semi").withColumn("occ", F.row_number().over(same))
-                .select("page_id", "digest", "occ", "file_no", F.col("offset").alias(f"{mark}offset"), F.col("length").alias(f"{mark}length")))
+                .select("page_id", "known", "digest", "occ", "file_no", F.col("offset").alias(f"{mark}offset"), F.col("length").alias(f"{mark}length")))
 
     a, b = numbered(first, ""), numbered(second, "replica_")
-    keys = ["page_id", "digest", "occ"]
-    turn = Window.partitionBy("page_id").orderBy("digest", "occ")
+    keys = ["page_id", "known", "digest", "occ"]
+    turn = Window.partitionBy("page_id", "known").orderBy("digest", "occ")
     only_a = a.join(b, keys, "left_anti").withColumn("rn", F.row_number().over(turn)).drop("occ")
     only_b = (b.join(a, keys, "left_anti").withColumn("rn", F.row_number().over(turn))
-              .select("page_id", "rn", F.col("digest").alias("replica_digest"), F.col("file_no").alias("f2"), "replica_offset", "replica_length"))
-    return (only_a.join(only_b, ["page_id", "rn"], "full_outer")
-            .select("page_id", F.when(F.col("replica_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra")
+              .select("page_id", "known", "rn", F.col("digest").alias("replica_digest"), F.col("file_no").alias("f2"), "replica_offset", "replica_length"))
+    return (only_a.join(only_b, ["page_id", "known", "rn"], "full_outer")
+            .select(F.when(F.col("known"), F.col("page_id")).alias("page_id"), F.when(F.col("replica_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra")
                     .otherwise("changed").alias("kind"), F.coalesce("file_no", "f2").alias("file_no"), "offset", "length", "digest",
                     "replica_offset", "replica_length", "replica_digest"))
