@@ -5,8 +5,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from parcelgrid.checks.market import r
-from parcelgrid.checks.quality import FLAGGED, KEYED, TITLED, titled  # noqa: F401
+from parcelgrid.checks.market import _AVG, _BY, r
+from parcelgrid.checks.quality import EVENTS, FLAGGED, KEYED, TITLED, all_events, titled  # noqa: F401
 from parcelgrid.checks.registry import AS_OF, query
 from parcelgrid.checks.spatial import DENSITY_AS_OF, priced_properties
 from parcelgrid.functions.common import round_even
@@ -42,32 +42,54 @@ query("quality_pipeline", f"""
 SELECT f.doc_id AS external_id, f.price_eur, {r('price_eur / area_sqm', 2)} AS price_per_sqm FROM flagged f JOIN dup USING (doc_id)
 WHERE flags = '' AND duplicate_of IS NULL AND lat <> 0 AND lon <> 0 AND price_eur <> 0 AND area_sqm <> 0 AND is_active""")(
     lambda t: PL.quality_pipeline(titled(t), by=("locality",))[1].select("external_id", "price_eur", "price_per_sqm"))
+_ITEM = f"CASE WHEN ok % 5 = 0 THEN {r('price_eur * (1 / CAST(1.95583 AS DOUBLE))', 2)} ELSE price_eur END"
 query("item_pipeline", f"""
-SELECT substr(sha256(concat(source, ':', doc_id)), 1, 16) AS dedup_hash, CASE WHEN ok % 5 = 0 THEN {r('price_eur * (1 / CAST(1.95583 AS DOUBLE))', 2)} ELSE price_eur END AS price_eur,
-  property_type, locality, lat, TRUE AS is_active FROM texts WHERE price_eur <> 0""", ("texts",))(lambda t: _items(t))
+, hashed AS (SELECT substr(sha256(concat(source, ':', doc_id)), 1, 16) AS h, * FROM texts),
+tgt AS (SELECT h, pk FROM hashed WHERE pk % 3 = 0), bat AS (SELECT h, {_ITEM} AS price, property_type, locality, lat FROM hashed WHERE price_eur <> 0)
+SELECT COALESCE(tgt.h, bat.h) AS dedup_hash, CASE WHEN bat.h IS NULL THEN 1.0::DOUBLE + pk ELSE bat.price END AS price_eur,
+  CASE WHEN tgt.h IS NULL THEN bat.property_type ELSE 'stored' END AS property_type, CASE WHEN tgt.h IS NULL THEN bat.locality ELSE 'Stored' END AS locality,
+  CASE WHEN tgt.h IS NULL THEN bat.lat END AS lat, bat.h IS NOT NULL AS is_active,
+  CASE WHEN tgt.h IS NULL THEN TIMESTAMP '{AS_OF}' ELSE TIMESTAMP '2020-01-01' END AS created_at,
+  CASE WHEN bat.h IS NULL THEN TIMESTAMP '2020-01-02' ELSE TIMESTAMP '{AS_OF}' END AS scraped_at
+FROM tgt FULL JOIN bat ON tgt.h = bat.h""", ("texts",))(lambda t: _items(t))
 
 
 def _items(t):
+    """A third of the items are stored already, some of which the batch leaves out."""
     items = t.texts.select("doc_id", "source", F.col("doc_id").alias("external_id"), F.col("price_eur").alias("price"), "price_currency", "address_raw", "locality",
                            F.upper("property_type").alias("property_type"), "area_sqm", "lat", "lon", F.col("country").alias("country_code"))
-    target = t.spark.createDataFrame([], "dedup_hash string, price_eur double, price_adjusted_eur double, property_type string, locality string, lat double, "
-                                         "is_active boolean, created_at timestamp, scraped_at timestamp")
+    target = t.texts.filter("pk % 3 = 0").select(
+        F.substring(F.sha2(F.concat("source", F.lit(":"), "doc_id").cast("binary"), 256), 1, 16).alias("dedup_hash"), (F.col("pk") + 1.0).alias("price_eur"),
+        F.lit(None).cast("double").alias("price_adjusted_eur"), F.lit("stored").alias("property_type"), F.lit("Stored").alias("locality"),
+        F.lit(None).cast("double").alias("lat"), F.lit(False).alias("is_active"), F.lit("2020-01-01").cast("timestamp").alias("created_at"),
+        F.lit("2020-01-02").cast("timestamp").alias("scraped_at"))
     out = PL.item_pipeline(items, t.geocode_cache, target, AS_OF, ["doc_id"], countries=t.countries)
-    return out.select("dedup_hash", "price_eur", "property_type", "locality", "lat", F.coalesce("is_active", F.lit(True)).alias("is_active"))
+    return out.select("dedup_hash", "price_eur", "property_type", "locality", "lat", "is_active", F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+                      F.col("scraped_at").cast("timestamp_ntz").alias("scraped_at"))
 
 
-query("market_report", f"""
+query("market_report", f""", {EVENTS}
 SELECT 'countries' AS part, country AS name, count(*) AS n, {r('avg(price_eur)', 4)} AS avg_price FROM listings WHERE price_eur > 0 GROUP BY country
 UNION ALL SELECT 'property_types', property_type, count(*), NULL FROM listings GROUP BY property_type
-UNION ALL SELECT * FROM (SELECT 'localities', locality, count(*) AS n, NULL FROM listings GROUP BY locality ORDER BY n DESC, locality LIMIT 10)""")(lambda t: _report(t))
+UNION ALL SELECT * FROM (SELECT 'localities', locality, count(*) AS n, NULL FROM listings GROUP BY locality ORDER BY n DESC, locality LIMIT 10)
+UNION ALL SELECT 'collections', source, count(*), {r('avg(price_eur)', 4)} FROM listings GROUP BY source
+UNION ALL SELECT concat('market ', "by"), name, n, avg_price FROM (SELECT * FROM ({_BY.format('locality', _AVG)} ORDER BY n DESC, name LIMIT 30)
+  UNION ALL {_BY.format('property_type', _AVG)} UNION ALL {_BY.format('country', _AVG)})
+UNION ALL SELECT 'events', event, count(*), NULL FROM events_all GROUP BY event""", ("listings", "batch1", "batch2"))(lambda t: _report(t))
 
 
 def _report(t):
-    parts = PL.market_report(t.listings)
+    """All parts of the report as one table."""
+    parts = PL.market_report(t.listings, all_events(t))
     none = F.lit(None).cast("double").alias("avg_price")
-    return (parts["countries"].select(F.lit("countries").alias("part"), F.col("country").alias("name"), "n", round_even("avg_price", 4).alias("avg_price"))
-            .unionByName(parts["property_types"].select(F.lit("property_types").alias("part"), F.col("value").alias("name"), "n", none))
-            .unionByName(parts["localities"].select(F.lit("localities").alias("part"), F.col("value").alias("name"), "n", none)))
+    avg = round_even("avg_price", 4).alias("avg_price")
+
+    def rows(part, name, price, label=None):
+        return parts[part].select((label if label is not None else F.lit(part)).alias("part"), F.col(name).alias("name"), "n", price)
+
+    return (rows("countries", "country", avg).unionByName(rows("property_types", "value", none)).unionByName(rows("localities", "value", none))
+            .unionByName(rows("collections", "source", avg)).unionByName(rows("market", "name", avg, F.concat(F.lit("market "), F.col("by"))))
+            .unionByName(rows("events", "event", none)))
 
 
 # --- Model jobs: rows only ------------------------------------------------------------------------------------
