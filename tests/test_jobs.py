@@ -90,7 +90,7 @@ def test_entry_and_registry(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(oracles) > 140
     # the optional training-data part brings all of its queries or none
-    assert sum(n == "pipeline" or n[:2] == "op" and n[2].isdigit() for n in queries) in (0, 11)
+    assert sum(n == "pipeline" or n[:2] == "op" and n[2].isdigit() for n in queries) in (0, 14)
 
 
 @pytest.mark.parametrize("name", ["market_stats", "mark_duplicates", "price_changes", "target_encode"])
