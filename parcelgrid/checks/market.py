@@ -111,6 +111,16 @@ def _page(t):
     return rows.select("doc_id", F.lit(total).cast("long").alias("total"), F.lit(pages).cast("long").alias("pages"))
 
 
+query("indexed_page", """
+SELECT doc_id, count(*) OVER () AS total, CAST(ceil(count(*) OVER () / 24.0) AS BIGINT) AS pages FROM listings
+ORDER BY CASE WHEN price_eur <> 0 THEN price_eur END ASC NULLS LAST, doc_id LIMIT 24 OFFSET 4800""")(lambda t: _deep_page(t))
+
+
+def _deep_page(t):
+    rows, total, pages = M.indexed_page(M.page_index(t.listings, "price_asc"), 201)
+    return rows.select("doc_id", F.lit(total).cast("long").alias("total"), F.lit(pages).cast("long").alias("pages"))
+
+
 query("search_filter", """
 SELECT doc_id FROM listings WHERE lower(concat_ws(' ', title, locality, description, property_type)) LIKE '%nation_7 bright%' AND country = 'MT'""")(
     lambda t: M.search_filter(t.listings, "NATION_7 Bright", "mt").select("doc_id"))

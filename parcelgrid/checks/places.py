@@ -67,6 +67,9 @@ def index(t):
 
 query("location_ref_index", f", {_REFS} SELECT ref, original, locality, n_localities, CAST(n AS BIGINT) AS n FROM idx", CACHE)(
     lambda t: index(t))
+query("location_ref_contexts", f""", {_REFS}, d AS (SELECT ref, context, (row_number() OVER (PARTITION BY ref ORDER BY context) - 1) // 3 AS piece FROM (SELECT DISTINCT ref, context FROM refs WHERE context IS NOT NULL))
+SELECT ref, CAST(piece AS INT) AS piece, string_agg(context, '|' ORDER BY context) AS contexts, count(*) AS n FROM d GROUP BY ref, piece""", CACHE)(
+    lambda t: P.location_ref_contexts(t.text_features.select("doc_id", "location_reference"), t.listings, 3).withColumn("contexts", F.concat_ws("|", "contexts")))
 query("join_geocode_cache", f""", {_REFS} SELECT doc_id, CASE WHEN c.found IS NULL THEN 'uncached' WHEN c.found THEN 'found' ELSE 'not_found' END AS status, c.lat, c.lon
 FROM refs LEFT JOIN geocode_cache c ON c.cache_key = concat(ref, '|', context)""", CACHE)(
     lambda t: P.join_geocode_cache(

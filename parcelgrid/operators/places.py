@@ -16,7 +16,7 @@ from parcelgrid.functions.common import (
 )
 from parcelgrid.functions.geo import haversine_km
 from parcelgrid.functions.scalar import last_part
-from parcelgrid.operators.ranking import attach, exact_percentiles
+from parcelgrid.operators.ranking import attach, dense_positions, exact_percentiles
 from parcelgrid.operators.spatial import _fine_cell, nearest_candidates
 
 
@@ -261,7 +261,7 @@ def location_refs(features: DataFrame, docs: DataFrame) -> DataFrame:
 def location_ref_index(features: DataFrame, docs: DataFrame) -> DataFrame:
     """Distinct references: first spelling, first context, number of contexts and uses.
 
-    Contexts stay a count here; `location_refs` has them row by row, so a much used
+    Contexts stay a count here; `location_ref_contexts` has all of them in pieces of bounded size, so a much used
     reference never turns into one huge array.
     """
     refs = location_refs(features, docs)
@@ -272,6 +272,20 @@ def location_ref_index(features: DataFrame, docs: DataFrame) -> DataFrame:
         F.count("context").alias("n_localities"), F.sum("n").alias("n"))
 
 
+def location_ref_contexts(features: DataFrame, docs: DataFrame, size: int = 1000) -> DataFrame:
+    """All distinct contexts of each reference in numbered pieces of at most `size`, in order.
+
+    Places come from range counts over all (reference, context) pairs, so a reference with very many contexts is spread over
+    many tasks and rows and no array grows with it.
+    """
+    pairs = location_refs(features, docs).filter(F.col("context").isNotNull()).select("ref", "context").distinct()
+    placed = dense_positions(pairs, [F.col("ref"), F.col("context")], "at")
+    first = placed.groupBy("ref").agg(F.min("at").alias("first"))
+    piece = F.floor((F.col("at") - F.col("first")) / F.lit(size)).cast("int")
+    return (attach(placed, first, ["ref"], "inner").groupBy("ref", piece.alias("piece"))
+            .agg(F.array_sort(F.collect_list("context")).alias("contexts"), F.count("*").alias("n")))
+
+
 def geocode_stats(refs: DataFrame, cache: DataFrame) -> DataFrame:
     """References per cache status."""
     keyed = refs.withColumn("cache_key", cache_key("ref", "locality"))

@@ -124,6 +124,24 @@ def test_upsert_of_repeated_keys(spark, chunk, heavy):
     assert tuple(done.counts.first()) == (0, 11)
 
 
+def test_indexed_pages_are_the_pages(spark, tables):
+    from parcelgrid.operators import market as M
+    df = tables.listings
+    index = M.page_index(df, "price_desc")
+    for page in (1, 17, 10 ** 6):
+        want, got = M.paginate(M.browse_sort(df, "price_desc"), page), M.indexed_page(index, page)
+        assert want[1:] == got[1:] and [r["doc_id"] for r in want[0].collect()] == [r["doc_id"] for r in got[0].collect()]
+    assert M.indexed_page(M.page_index(df.limit(0)), 3)[1:] == (0, 1)
+
+
+def test_contexts_come_in_bounded_pieces(spark):
+    from parcelgrid.operators.places import location_ref_contexts
+    refs = spark.createDataFrame([(str(i), " The Bay " if i % 2 else "the bay") for i in range(250)] + [("x", None), ("y", "Hill")], "doc_id string, location_reference string")
+    docs = spark.createDataFrame([(str(i), f"place {i % 120:03d}") for i in range(250)] + [("x", "a")], "doc_id string, locality string")
+    rows = sorted(location_ref_contexts(refs, docs, 50).collect(), key=lambda r: r["piece"])
+    assert [r["n"] for r in rows] == [50, 50, 20] and [c for r in rows for c in r["contexts"]] == [f"place {i:03d}" for i in range(120)]
+
+
 def test_upsert_deals_rows_once(spark):
     """One exchange and one sort of the steps where no listing is long; long and short listings together give the same."""
     rows = [(d, "s", "MT", at(i % 20), float(100 + i), None, f"t{i // 3}", True) for i in range(60) for d in (("a",) if i % 2 else ("b", "c"))]
