@@ -63,13 +63,16 @@ def read_collection(spark: SparkSession, path: str, schema: T.StructType = DOCUM
     typed = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     loose = T.StructType([T.StructField("current", T.MapType(T.StringType(), T.StringType()))])
     lines = text_lines(spark, path).select("_ordinal", "value", F.from_json("value", typed, strict).alias("t"), F.from_json("value", loose, strict)["current"].alias("all"))
-    # the typed pass also refuses a line for one value; only such lines are parsed a second time, value by value
-    lines = lines.withColumn("v", F.when(F.col("t").isNull() | F.col("t").getField(CORRUPT).isNotNull(), object_of(F.col("value"))))
-    usable = lines.select(
-        "_ordinal", *[F.when(F.col("v").isNull() & F.col("t").getField(CORRUPT).isNull(), F.col("t").getField(f.name))
-                      .otherwise(lenient("v", f"$.{f.name}", f.dataType)).alias(f.name) for f in schema.fields],
-        F.map_filter(F.when(F.col("v").isNull(), F.col("all")).otherwise(F.try_variant_get("v", "$.current", "map<string,string>")),
-                     lambda k, _: ~F.array_contains(known, k)).alias("extra")).filter(filled("_id"))
+    refused = F.col("t").isNull() | F.col("t").getField(CORRUPT).isNotNull()
+
+    def unknown(entries: Column) -> Column:
+        return F.map_filter(entries, lambda key, _: ~F.array_contains(known, key)).alias("extra")
+
+    typed_lines = lines.filter(~refused).select("_ordinal", *[F.col("t").getField(n).alias(n) for n in schema.fieldNames()], unknown(F.col("all")))
+    # the typed pass refuses a line for one value; only such lines are parsed again, value by value
+    mixed = lines.filter(refused).select("_ordinal", object_of(F.col("value")).alias("v")).filter("v IS NOT NULL").select(
+        "_ordinal", *[lenient("v", f"$.{f.name}", f.dataType).alias(f.name) for f in schema.fields], unknown(F.try_variant_get("v", "$.current", "map<string,string>")))
+    usable = typed_lines.unionByName(mixed).filter(filled("_id"))
     body = [f for f in schema.fieldNames() if f != "_id"]
     return (usable.groupBy("_id").agg(F.max_by(F.struct(*body, "extra"), F.col("_ordinal")).alias("d"))
             .select(F.col("_id").alias("doc_id"), "d.*"))
