@@ -178,3 +178,38 @@ def test_place_cascade(spark):
                                   "id int, name string, lat double, lon double")
     got = by_id(resolve_locality(asked, cents), "id", "locality")
     assert got == {1: "Sliema", 2: "Msida", 3: "Zebbug", 4: "Gozo - Zebbug", 5: "Rabat", 6: "Gozo - Victoria", 7: "St Julian's", 8: "Sliema", 9: None}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("metric", ["haversine", "degree"])
+def test_nearest_candidates_send_no_exploded_table_through_the_driver(spark, metric):
+    """Points on both sides of block edges; the plan joins exploded tables by sorting, however small they seem."""
+    pts = spark.range(40).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("category"),
+                                 (35.0 + F.col("id") * 0.0371).alias("lat"), (14.0 - F.col("id") * 0.53).alias("lon"))
+    spots = spark.range(25).select((35.2 + F.col("id") * 0.051).alias("lat"), (14.3 - F.col("id") * 0.7).alias("lon"))
+    found = S.nearest_candidates(spots, pts, metric=metric)
+    assert "Broadcast" not in plan_of(found)
+    def away(a, b):
+        return haversine_km(a + "lat", a + "lon", b, b.replace("lat", "lon")) if metric == "haversine" else S.degree_distance(a + "lat", a + "lon", b, b.replace("lat", "lon"))
+    got = (spots.withColumns(S._fine_cell("lat", "lon")).join(found, ["ci", "cj"]).groupBy("lat", "lon", "category")
+           .agg(F.min(away("", "p_lat")).alias("d")))
+    want = spots.alias("s").join(pts.alias("p")).groupBy("s.lat", "s.lon", "p.category").agg(F.min(away("s.", "p.lat")).alias("d"))
+    rows = lambda df: sorted((round(r[0], 6), round(r[1], 6), r[2], round(r[3], 9)) for r in df.collect())
+    assert rows(got) == rows(want)
+
+
+def test_searches_send_no_exploded_table_through_the_driver(spark):
+    rows = spark.range(60).select(F.col("id"), (35.8 + F.col("id") * 0.001).alias("lat"), (14.4 + F.col("id") % 7 * 0.002).alias("lon"),
+                                  F.lit("apartment").alias("property_type"), F.lit("sale").alias("listing_type"), (40.0 + F.col("id")).alias("area_sqm"))
+    asked = rows.select(F.col("id").alias("request_id"), "lat", "lon", "property_type", "listing_type", "area_sqm")
+    near = S.nearest_within(asked, rows, "request_id", "id", 2.0, 3, ["property_type", "listing_type"], 0.4, 4)
+    lines = plan_of(near).split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((i for i in range(at + 1, len(lines)) if depth(lines[i]) <= depth(line)), len(lines))
+            assert not any("Generate" in x for x in lines[at:below])
+    assert near.groupBy("request_id").count().agg(F.min("count"), F.max("count")).first()[:] == (3, 3)
