@@ -199,3 +199,32 @@ def test_page_size_is_not_cut_silently(spark):
     from parcelgrid.operators.market import bbox_filter
     with pytest.raises(ValueError):
         bbox_filter(spark.range(1).toDF("id"), 0, 1, 0, 1, limit=501)
+
+
+def test_large_tables_are_not_dealt_anew(spark, monkeypatch):
+    """Files that Spark splits itself are read as they are; a small single file is spread."""
+    from parcelgrid import testbed
+    root = fresh_path(spark, "tables")
+    spark.range(1000).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(f"{root}/orders.parquet")
+    exchanges = lambda: testbed.base(spark, root, "orders")._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges() == 1
+    monkeypatch.setattr(testbed, "SPREAD_BYTES", 100)
+    assert exchanges() == 0 and testbed.base(spark, root, "orders").count() == 1000
+
+
+def test_change_events_of_batches_equal_those_of_the_per_listing_state(spark):
+    """Nulls, times that are missing, rows without an id and several rows of a listing in one batch, over two batches; no Python call per listing."""
+    out = fresh_path(spark, "both")
+    schema = "doc_id string, scraped_at timestamp, price_eur double, title string"
+    day = lambda n: dt.datetime(2026, 1, n)
+    batches = [[("a", day(1), 10.0, "x"), ("a", day(2), None, "y"), ("b", day(1), None, None), ("c", None, 5.0, None), ("c", day(3), 4.0, "z"), (None, day(1), 1.0, "n")],
+               [("a", day(4), 11.0, "y"), ("b", day(4), 3.0, "t"), ("c", day(5), 5.0, " z "), ("d", day(5), 7.0, "w"), (None, day(6), 2.0, "n")]]
+    got = {"states": [], "batches": []}
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{out}/in")
+        stream = lambda: spark.readStream.schema(schema).parquet(f"{out}/in")
+        S.run_available(S.stream_change_events(stream(), ["price_eur", "title"]), f"{out}/s", f"{out}/sc").awaitTermination()
+        S.stream_change_events(stream(), ["price_eur", "title"], f"{out}/b", f"{out}/bc").awaitTermination()
+    for name, at in (("states", "s"), ("batches", "b")):
+        got[name] = sorted(str((r["doc_id"], r["date"], r["event"], r["changes"] and sorted(r["changes"].items()))) for r in spark.read.parquet(f"{out}/{at}").collect())
+    assert got["states"] == got["batches"] and len(got["batches"]) > 8
