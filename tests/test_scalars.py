@@ -4,6 +4,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from parcelgrid.functions import common as C
 from parcelgrid.functions import scalar as S
 from parcelgrid.functions.responses import parse_llm_response
 from parcelgrid.operators import extract as E
@@ -96,3 +97,37 @@ def test_json_ld_snippet(spark):
 
 def test_feature_lists():
     assert (len(feature_names()), len(feature_names(serve_consistent=True))) == (97, 79)
+
+
+def test_values_are_worked_out_once(spark):
+    """The cost of a page: a text that several branches need is matched once."""
+    def passes(column):
+        plan = spark.createDataFrame([("x",)], "t string").select(column.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("regexp_replace(")
+
+    text = F.regexp_replace("t", "a", "b")
+    assert passes(E.absolute(text)) == 1
+    assert passes(C.number_at(text, "(b+)")) == 1
+    assert passes(C.first_match(text, [("x", 1), (("y", "z"), 2)])) == 1
+
+
+def test_blocks_and_stretches(spark):
+    html = ('<DIV class="item">a<b>1</b></DIV><div>between</div><div  class=\'top item\'>2 < 3<p>x</p><div class="xitem">in</div></div>'
+            '<div class="item">last <a href="/obiava-x">&amp;lt;\t \n y</a>')
+    df = spark.createDataFrame([(html,), ("",), (None,)], "h string")
+    rows = df.select(E.blocks("h", "div", E.has_class("item")).alias("b"), E.inner("h", "a").alias("i"),
+                     E.squeeze(E.html_text(E.inner("h", "a"))).alias("t")).collect()
+    assert [len(x) for x in rows[0]["b"]] == [len(p) for p in (html[:html.index("<div  ")], html[html.index("<div  "):html.index('<div class="item">last')],
+                                                             html[html.index('<div class="item">last'):])]
+    assert (rows[0]["i"], rows[0]["t"]) == ("&amp;lt;\t \n y", "&lt; y")
+    assert (rows[1]["b"], rows[1]["i"], rows[2]["b"], rows[2]["t"]) == ([], "", None, None)
+
+
+def test_api_answer_is_parsed_once(spark):
+    df = spark.createDataFrame([('{"MLS": "", "Id": 7, "Price": "1,200", "TotalSqm": 0, "TotalIntArea": 50, "Town": "Sliema", "Coordinates": {"lat": 35.9}}',),
+                                ("{broken",), (None,)], "raw_json string")
+    out = E.normalize_api_listing(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("json_tuple(") == 1
+    rows = out.collect()
+    assert [rows[0][c] for c in ("external_id", "price_eur", "price_per_sqm", "locality", "lat", "lon")] == ["7", 1200.0, 24.0, "Sliema", 35.9, None]
+    assert [r["doc_id"] for r in rows[1:]] == [None, None]
