@@ -96,8 +96,9 @@ def _numbered(df):
     """Place of every row under each of the four orders, so that order itself is compared."""
     placed = None
     for sort in ("price_asc", "price_desc", "area_desc", "newest"):
-        places = dense_positions(df, M.browse_order(sort), sort).select("doc_id", (F.col(sort) + 1).alias(sort))
-        placed = places if placed is None else placed.join(places, "doc_id")
+        shown = df.select("doc_id", {"area_desc": "area_sqm", "newest": "last_seen"}.get(sort, "price_eur"))
+        places = dense_positions(shown, M.browse_order(sort), sort).select("doc_id", (F.col(sort) + 1).alias(sort))
+        placed = places if placed is None else placed.join(places.hint("merge"), "doc_id")
     return placed
 
 

@@ -180,7 +180,7 @@ def page_index(df: DataFrame, sort: str = "newest", id_col: str = "doc_id") -> D
     """
     placed = dense_positions(df, browse_order(sort, id_col), "at")
     path = fresh_path(df.sparkSession, "page_index")
-    placed.repartitionByRange("at").sortWithinPartitions("at").write.parquet(path)
+    placed.sortWithinPartitions("at").write.parquet(path)
     return df.sparkSession.read.schema(placed.schema).parquet(path)
 
 

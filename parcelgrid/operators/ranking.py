@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelgrid.session import materialize
+from parcelgrid.session import fresh_path
 from parcelgrid.functions.common import col
 
 
@@ -135,16 +135,20 @@ def rank_within(df: DataFrame, by: Sequence[str], order: str, id_col: str,
 def dense_positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Adds the zero-based place of each row in a total order.
 
-    Rows are dealt by range and sorted inside partitions; only the row counts of the
-    partitions, one number each, go through a single window.
+    Rows are dealt by range, sorted inside partitions and written with their partition and their place in it, in packed
+    columns; only the row counts of the partitions, one number each, go through a single window and to all tasks.
     """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                         .withColumn("__at", F.monotonically_increasing_id()))
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = fresh_path(spark, "places")
+    dealt = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+             .withColumn("__at", F.monotonically_increasing_id()))
+    dealt.write.parquet(path)
+    placed = spark.read.schema(dealt.schema).parquet(path)
     part = F.shiftright("__at", 33)
     counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     start = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
-    return (placed.withColumn("__part", part).join(start, "__part")
+    return (placed.withColumn("__part", part).join(F.broadcast(start), "__part")
             .withColumn(name, F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__start"))
 
 
