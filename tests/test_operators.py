@@ -209,3 +209,23 @@ def test_searches_send_no_exploded_table_through_the_driver(spark):
     joins = [x for x in plan_of(near).split("\n") if "Join [" in x and "p_ci" in x and "bucket" not in x.split("Inner")[0]]
     assert len(joins) == 2 and all("SortMergeJoin" in x for x in joins)
     assert near.groupBy("request_id").count().agg(F.min("count"), F.max("count")).first()[:] == (3, 3)
+
+
+def test_dense_positions_are_stored_packed(spark):
+    """Rows are written once in columns; the counts of the ranges go to the rows, not the rows to the counts."""
+    from parcelgrid.operators.ranking import dense_positions
+    df = spark.createDataFrame([(f"k{i:03}", i % 7 or None) for i in range(200)], "id string, v int")
+    out = dense_positions(df, [F.col("v").asc_nulls_last(), F.col("id")], "at")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "parquet" in plan and "broadcast" in plan
+    want = sorted(((i % 7 or 99, f"k{i:03}") for i in range(200)))
+    assert [r["id"] for r in out.orderBy("at").collect()] == [k for _, k in want]
+    assert sorted(r["at"] for r in out.collect()) == list(range(200))
+
+
+def test_written_lines_are_compressed(tables):
+    from parcelgrid.checks.storage import written_lines
+    from parcelgrid.sources import collections as C
+    spark, path = tables.spark, written_lines(tables)
+    assert all(f.endswith(".lz4") for f in spark.read.text(path).inputFiles())
+    assert C.corrupt_lines(spark, path).count() == tables.listings.filter("ok % 5 = 0").count()
