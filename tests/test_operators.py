@@ -229,3 +229,34 @@ def test_written_lines_are_compressed(tables):
     spark, path = tables.spark, written_lines(tables)
     assert all(f.endswith(".lz4") for f in spark.read.text(path).inputFiles())
     assert C.corrupt_lines(spark, path).count() == tables.listings.filter("ok % 5 = 0").count()
+
+
+@pytest.mark.parametrize("per_cell, crowded", [(6.0, 1000), (48.0, 1000), (6.0, 4)])
+def test_nearest_from_neighbouring_cells_equal_brute_force(spark, monkeypatch, per_cell, crowded):
+    """Sparse, crowded and repeated rows; rows without an area or id; requests that come twice."""
+    monkeypatch.setattr(S, "_CROWDED", crowded)
+    n = F.col("id")
+    rows = spark.range(1500).select(
+        F.when(n % 37 > 0, n % 701).alias("id"), (35.8 + n * 7919 % 1000 / F.lit(40000.0)).alias("lat"), F.when(n % 41 > 0, 14.4 + n * 104729 % 997 / F.lit(30000.0)).alias("lon"),
+        F.when(n % 29 > 0, F.when(n % 3 > 0, "flat").otherwise("house")).alias("kind"), F.when(n % 23 > 0, 40.0 + n % 50).alias("area_sqm"))
+    rows = rows.unionAll(rows.limit(40).select("id", F.lit(35.81).alias("lat"), F.lit(14.41).alias("lon"), "kind", "area_sqm"))
+    asked = rows.filter("id % 5 = 0 OR id IS NULL").withColumnRenamed("id", "q")
+    got = S.nearest_within(asked, rows, "q", "id", 1.0, 4, ["kind"], 0.3, 4, ["area_sqm"], per_cell).select("q", "rank", "distance_m")
+    pairs = asked.alias("a").join(rows.alias("b"), F.col("a.kind") == F.col("b.kind")).withColumn("d", geodesic_m("a.lat", "a.lon", "b.lat", "b.lon"))
+    pairs = pairs.filter((F.col("d") <= 1000) & F.col("b.area_sqm").isNotNull()
+                         & (F.col("a.area_sqm").isNull() | F.col("b.area_sqm").between(F.col("a.area_sqm") * (1 - 0.3), F.col("a.area_sqm") * (1 + 0.3))))
+    want = R.top_k_per_probe(pairs.select("a.q", "b.id", F.col("d").alias("distance_m")), "q", ["distance_m", "id"], 4).select("q", "rank", "distance_m")
+    look = lambda df: sorted((-1 if r[0] is None else r[0], r[1], round(r[2], 4)) for r in df.collect())
+    assert look(got) == look(want)
+
+
+def test_nearest_makes_one_row_of_a_probe_with_enough_listings_beside_it(spark):
+    """Most probes are settled from the listings of the cells around; they are not copied to each cell in reach."""
+    rows = spark.range(4000).select("id", (35.8 + F.col("id") * 7919 % 4001 / F.lit(100000.0)).alias("lat"),
+                                    (14.4 + F.col("id") * 1047 % 3989 / F.lit(100000.0)).alias("lon"), F.lit("flat").alias("kind"), F.lit(60.0).alias("area_sqm"))
+    g = S.Grid(2.0, 4.0, "haversine")
+    pool = rows.select("kind", "id", "lat", "lon").withColumns(g.cell("lat", "lon", "o_"))
+    near = S.beside(rows.select(F.col("id").alias("q"), "kind", "lat", "lon").withColumns(g.cell("lat", "lon")), pool, g, ["kind"], ["id", "lat", "lon"])
+    size = near.select(F.size(F.filter("near", lambda x: geodesic_m("lat", "lon", x["lat"], x["lon"]) <= g.side * 1000)).alias("n"), "q").collect()
+    pairs = rows.alias("a").join(rows.alias("b"), geodesic_m("a.lat", "a.lon", "b.lat", "b.lon") <= g.side * 1000).groupBy("a.id").count()
+    assert len(size) == 4000 and {r["q"]: r["n"] for r in size} == {r[0]: r[1] for r in pairs.collect()}
