@@ -38,6 +38,37 @@ def test_range_count_with_a_hot_spot(spark):
     assert [r[0] for r in got] == [want]
 
 
+@pytest.mark.parametrize("resolution,limit", [(None, 200_000), (4, 200_000), (4, 60)])
+def test_similar_rentals_by_tile_equal_brute_force(spark, monkeypatch, resolution, limit):
+    """The best rentals whatever circle settles a sale; no pair of a sale and a set of rentals is shuffled."""
+    from parcelgrid.functions.common import round_even
+    from parcelgrid.operators import tiles
+    monkeypatch.setattr(tiles, "LIMIT", limit)
+    n = F.col("id")
+    rows = spark.range(1400).select(
+        F.concat(F.lit("d"), n).alias("doc_id"), (35.8 + (n * 7919 % 1009) / 8000).alias("lat"), (14.4 + (n * 10473 % 1013) / 9000).alias("lon"),
+        F.when(n % 19 != 0, 1 + n % 5).alias("rooms"), F.when(n % 11 != 0, (20 + n * 3 % 150).cast("double")).alias("area_sqm"),
+        (n % 6).alias("condition"), (300.0 + n).alias("price_eur"), n)
+    sales, rentals = rows.filter("id % 4 = 0"), rows.filter("id % 4 <> 0")
+    out = S.similar_rentals(sales, rentals, resolution=resolution)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    a, b = sales.alias("a"), rentals.alias("b")
+    d = planar_km("a.lat", "a.lon", "b.lat", "b.lon")
+    gap = F.abs(F.col("a.area_sqm") - F.col("b.area_sqm"))
+    cond = F.when((F.col("a.condition") != 0) & (F.col("b.condition") != 0), F.abs(F.col("a.condition") - F.col("b.condition")) / 4.0 * 0.5)
+    score = round_even(d / 5.0 * 3.0 + F.coalesce(F.abs(F.col("a.rooms") - F.col("b.rooms")) / 3.0 * 2.0, F.lit(1.0))
+                       + F.when(gap.isNull(), 0.0).otherwise(F.least(gap, F.lit(50.0)) / 50.0) + F.coalesce(cond, F.lit(0.0)), 2)
+    pairs = a.join(b, d <= 5.0).select(F.col("a.doc_id").alias("sale"), F.col("b.doc_id").alias("rental"), score.alias("s"))
+    best = {}
+    for r in sorted(pairs.collect(), key=lambda r: (r["sale"], r["s"], r["rental"])):
+        best.setdefault(r["sale"], []).append((r["rental"], r["s"]))
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r["sale_id"], r["rank"])):
+        got.setdefault(r["sale_id"], []).append((r["rental_id"], r["similarity"]))
+    assert got == {s: v[:3] for s, v in best.items()}
+
+
 def test_range_max(listings, tables):
     got = by_id(S.range_aggregate(listings, tables.pois, 2.0, value="poi_id", resolution=4).join(listings, ["lat", "lon"]), "doc_id", "in_range")
     pairs = listings.alias("a").join(tables.pois.alias("b"), haversine_km("a.lat", "a.lon", "b.lat", "b.lon") <= 2.0)
