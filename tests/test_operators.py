@@ -38,6 +38,21 @@ def test_range_count_with_a_hot_spot(spark):
     assert [r[0] for r in got] == [want]
 
 
+@pytest.mark.parametrize("limit", [200_000, 40])
+def test_planar_counts_by_tile_equal_brute_force(spark, monkeypatch, limit):
+    """No row of a probe and a cell at its edge is shuffled, also where tiles come in pieces."""
+    from parcelgrid.operators import tiles
+    monkeypatch.setattr(tiles, "LIMIT", limit)
+    pts = spark.range(900).select("id", F.when(F.col("id") % 50 != 0, 35.9 + (F.col("id") * 37 % 211) / 5000).alias("lat"),
+                                  F.when(F.col("id") % 70 != 0, 14.5 + (F.col("id") * 53 % 197) / 4000).alias("lon"))
+    got = S.rental_density(pts, pts.filter("id % 3 = 0"), 0.7)
+    near = pts.alias("a").join(pts.filter("id % 3 = 0").alias("b"), planar_km("a.lat", "a.lon", "b.lat", "b.lon") <= 0.7)
+    want = by_id(near.groupBy("a.id").agg(F.count("*").alias("n")), "id", "n")
+    assert {r["id"]: r["rental_density_2km"] for r in got.collect()} == {
+        r["id"]: want.get(r["id"], 0) if r["lat"] is not None and r["lon"] is not None else None for r in pts.collect()}
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("resolution,limit", [(None, 200_000), (4, 200_000), (4, 60)])
 def test_similar_rentals_by_tile_equal_brute_force(spark, monkeypatch, resolution, limit):
     """The best rentals whatever circle settles a sale; no pair of a sale and a set of rentals is shuffled."""
