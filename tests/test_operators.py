@@ -201,6 +201,16 @@ def test_upsert_deals_rows_once(spark):
     assert events(whole).exceptAll(events(cut)).count() == 0 and events(whole).count() == events(cut).count()
 
 
+def test_long_listings_are_found_by_parts(spark, monkeypatch):
+    """Only listings of a part with many steps are counted themselves, so that a batch of single steps costs no shuffle of its ids."""
+    n = F.col("id")
+    batch = spark.range(3000).select(F.when(n % 3 == 0, "long").when(n % 100 == 1, F.lit(None)).otherwise(F.concat(F.lit("d"), n)).alias("doc_id"))
+    monkeypatch.setattr(H, "_PARTS", 8)
+    assert [r[0] for r in H.long_listings(batch, 900).collect()] == ["long"]
+    assert sorted(H.long_listings(batch, 10).collect(), key=lambda r: r[0] or "") == [(None,), ("long",)]
+    assert H.long_listings(batch, 1000) is None and H.long_listings(batch, 5000) is None
+
+
 def test_upsert_twice_changes_nothing(tables):
     batch = tables.batch1.dropDuplicates(["doc_id"]).select("doc_id", "source", "country", F.col("last_seen").cast("timestamp").alias("scraped_at"), "price_eur", "title", "is_active")
     first = H.upsert_listings(None, batch)
