@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelgrid import fixed_values as V
-from parcelgrid.functions.common import col, null_if_empty
+from parcelgrid.functions.common import col, null_if_empty, once
 
 
 def strip_fences(text) -> Column:
@@ -23,19 +23,21 @@ def parse_llm_response(text, with_images: bool = False) -> Column:
     """Struct of the known keys, scores held to 1..5; NULL for anything unusable.
 
     A value of an unexpected type becomes NULL; the record itself is kept.  The text
-    is parsed once: the one-element array binds the parsed record to a name.
+    is stripped and parsed once.
     """
-    body, fields = strip_fences(text), response_fields(with_images)
+    fields = response_fields(with_images)
     schema = ", ".join(f"{name} {dtype}" for name, dtype in fields.items())
-    known = F.arrays_overlap(F.json_object_keys(body), F.array(*[F.lit(n) for n in fields]))
 
     def tidy(rec):
         return F.struct(*[
             (F.when(rec[n].isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), rec[n]))).cast(t)
              if n in V.CLAMPED_SCORES else rec[n]).alias(n) for n, t in fields.items()])
 
-    parsed = F.transform(F.array(F.from_json(body, schema)), tidy)[0]
-    return F.when(F.coalesce(known, F.lit(False)), parsed)
+    def parse(body):
+        known = F.arrays_overlap(F.json_object_keys(body), F.array(*[F.lit(n) for n in fields]))
+        return F.when(F.coalesce(known, F.lit(False)), once(F.from_json(body, schema), tidy))
+
+    return once(strip_fences(text), parse)
 
 
 def with_text_features(df: DataFrame, text_col: str, out: str = "text",

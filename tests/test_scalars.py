@@ -131,3 +131,13 @@ def test_api_answer_is_parsed_once(spark):
     rows = out.collect()
     assert [rows[0][c] for c in ("external_id", "price_eur", "price_per_sqm", "locality", "lat", "lon")] == ["7", 1200.0, 24.0, "Sliema", 35.9, None]
     assert [r["doc_id"] for r in rows[1:]] == [None, None]
+
+
+def test_response_is_stripped_once(spark):
+    """The fences' pattern is matched once a text, however often the body is named."""
+    from parcelgrid.functions.responses import with_text_features
+    rows = [(1, '```json\n{"condition": 9, "quality_tier": "luxury"}\n```'), (2, '{"condition": null}'), (3, '{"other": 1}'), (4, "not json"), (5, None), (6, "")]
+    df = with_text_features(spark.createDataFrame(rows, "id int, response string"), "response", with_images=True)
+    got = {r["id"]: r["text"] and (r["text"]["condition"], r["text"]["quality_tier"]) for r in df.collect()}
+    assert got == {1: (5, "luxury"), 2: (None, None), 3: None, 4: None, 5: None, 6: None}
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract") == 1
