@@ -316,3 +316,30 @@ def test_nearest_makes_one_row_of_a_probe_with_enough_listings_beside_it(spark):
     size = near.select(F.size(F.filter("near", lambda x: geodesic_m("lat", "lon", x["lat"], x["lon"]) <= g.side * 1000)).alias("n"), "q").collect()
     pairs = rows.alias("a").join(rows.alias("b"), geodesic_m("a.lat", "a.lon", "b.lat", "b.lon") <= g.side * 1000).groupBy("a.id").count()
     assert len(size) == 4000 and {r["q"]: r["n"] for r in size} == {r[0]: r[1] for r in pairs.collect()}
+
+
+@pytest.mark.parametrize("limit", [40, None])
+def test_counts_and_largest_values_on_the_sphere_equal_brute_force(spark, monkeypatch, limit):
+    """Counts and latest times within a radius, by country, far north, on one point and without a position."""
+    import datetime as dt
+    rng = np.random.default_rng(8)
+    if limit:
+        monkeypatch.setattr(S.tiles, "CROWD", limit)
+
+    def place(i, n):
+        lat, lon = [(35.9 + rng.uniform(-.06, .06), 14.5 + rng.uniform(-.06, .06)), (78.2 + rng.uniform(-.05, .05), 15.6 + rng.uniform(-.4, .4)),
+                    (35.9, 14.5), (-0.001 + rng.uniform(0, .03), rng.uniform(-.03, .03))][i % 4]
+        return None if i % 41 == 40 else ("MT", "NO", None)[i % 7 % 3], None if i % 37 == 36 else float(lat), float(lon)
+
+    asked = [(i, *place(i, 200)) for i in range(200)]
+    points = [(i, *place(i, 600), None if i % 5 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(hours=int(rng.integers(0, 500)))) for i in range(600)]
+    df = spark.createDataFrame(asked, "q long, country string, lat double, lon double")
+    pts = spark.createDataFrame(points, "id long, country string, lat double, lon double, seen timestamp")
+    counted = {r["q"]: r["n"] for r in S.radius_count(df, pts, 2.0, "n", match=["country"]).collect()}
+    fresh = S.range_aggregate(df, pts, 2.0, value="seen", match=["country"])
+    latest = {r["q"]: r["in_range"] for r in S.attach(df, fresh, ["country", "lat", "lon"]).collect()}
+    pairs = df.alias("a").join(pts.alias("b"), "country").filter(haversine_km("a.lat", "a.lon", "b.lat", "b.lon") <= 2.0)
+    want = {r["q"]: (r["n"], r["latest"]) for r in pairs.groupBy("q").agg(F.count("*").alias("n"), F.max("seen").alias("latest")).collect()}
+    assert sum(n for n, _ in want.values()) > 2000
+    for q, _, lat, _ in asked:
+        assert counted[q] == (None if lat is None else want.get(q, (0, None))[0]) and latest[q] == want.get(q, (0, None))[1]
