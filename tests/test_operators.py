@@ -343,3 +343,25 @@ def test_counts_and_largest_values_on_the_sphere_equal_brute_force(spark, monkey
     assert sum(n for n, _ in want.values()) > 2000
     for q, _, lat, _ in asked:
         assert counted[q] == (None if lat is None else want.get(q, (0, None))[0]) and latest[q] == want.get(q, (0, None))[1]
+
+
+@pytest.mark.parametrize("around, limit", [(12, None), (800, None), (800, 150)])
+def test_nearest_by_tile_equal_brute_force(spark, monkeypatch, around, limit):
+    """Sparse, crowded, repeated and far rows; rows without an area, id, kind or position; requests that come twice."""
+    monkeypatch.setattr(S, "_AROUND", around)
+    if limit:
+        monkeypatch.setattr(S.tiles, "CROWD", limit)
+    n = F.col("id")
+    rows = spark.range(1500).select(
+        F.when(n % 37 > 0, n % 701).alias("id"), (35.8 + n * 7919 % 1000 / F.lit(40000.0)).alias("lat"), F.when(n % 41 > 0, 14.4 + n * 104729 % 997 / F.lit(30000.0)).alias("lon"),
+        F.when(n % 29 > 0, F.when(n % 3 > 0, "flat").otherwise("house")).alias("kind"), F.when(n % 23 > 0, 40.0 + n % 50).alias("area_sqm"))
+    rows = rows.unionAll(rows.limit(40).select("id", F.lit(35.81).alias("lat"), F.lit(14.41).alias("lon"), "kind", "area_sqm"))
+    rows = rows.unionAll(rows.limit(60).select("id", F.lit(88.9).alias("lat"), (F.col("lon") * 20 - 290).alias("lon"), "kind", "area_sqm"))
+    asked = rows.filter("id % 5 = 0 OR id IS NULL").withColumnRenamed("id", "q")
+    got = S.nearest_within(asked, rows, "q", "id", 1.0, 4, ["kind"], 0.3, None, ["area_sqm"]).select("q", "rank", "distance_m")
+    pairs = asked.alias("a").join(rows.alias("b"), F.col("a.kind") == F.col("b.kind")).withColumn("d", geodesic_m("a.lat", "a.lon", "b.lat", "b.lon"))
+    pairs = pairs.filter((F.col("d") <= 1000) & F.col("b.area_sqm").isNotNull()
+                         & (F.col("a.area_sqm").isNull() | F.col("b.area_sqm").between(F.col("a.area_sqm") * (1 - 0.3), F.col("a.area_sqm") * (1 + 0.3))))
+    want = R.top_k_per_probe(pairs.select("a.q", "b.id", F.col("d").alias("distance_m")), "q", ["distance_m", "id"], 4).select("q", "rank", "distance_m")
+    look = lambda df: sorted((-1 if r[0] is None else r[0], r[1], round(r[2], 4)) for r in df.collect())
+    assert look(got) == look(want)
